@@ -121,7 +121,7 @@ def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     if n < k:
         out = np.full(1, n, np.uint64)
         for i in range(n):
-            out = mixed(out + hashes[i] * _ODD[32 + i])
+            out = mixed(out + hashes[i : i + 1] * _ODD[32 + i])
         return out
     out = hashes[: n - k + 1] * _ODD[0]
     for i in range(1, k):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_decontamination, best_fit_packing, document_fingerprints, license_scans, line_dedup, secret_scans, token_counts
+from . import benchmark_decontamination, best_fit_packing, document_fingerprints, license_scans, line_dedup, ngram_jaccard_join, secret_scans, token_counts
 from ._shared import table
 
 #: Tokens of a training sequence, and the vocabulary that counts them.
@@ -30,6 +30,10 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return benchmark_decontamination.contaminated(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
