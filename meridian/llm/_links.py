@@ -28,8 +28,8 @@ BITMAP_BITS = 1024
 TILE_ROWS = 512
 
 
-def bitmap(members: np.ndarray) -> bytes:
-    flips = np.bincount((members & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS)
+def bitmap(members: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
+    flips = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 

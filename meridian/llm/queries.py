@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_decontamination, best_fit_packing, document_fingerprints, license_scans, line_dedup, ngram_jaccard_join, secret_scans, token_counts
+from . import benchmark_decontamination, best_fit_packing, document_fingerprints, license_scans, line_dedup, ngram_jaccard_join, secret_scans, substring_dedup, token_counts
 from ._shared import table
 
 #: Tokens of a training sequence, and the vocabulary that counts them.
@@ -56,5 +56,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), SEQUENCE_TOKENS)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 ORACLES = {"op6_line_dedup": line_dedup.ORACLE.format(min_sites=MIN_SITES)}

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from meridian.llm import _links, ngram_jaccard_join
+from meridian.llm import _links, ngram_jaccard_join, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -123,3 +123,39 @@ def test_bitmaps_never_refuse_a_link():
         if 100 * inter >= 80 * (len(a) + len(b) - inter):
             bits = [np.frombuffer(_links.bitmap(x), np.uint64)[None] for x in (a, b)]
             assert _links.overlap_possible(*bits, np.array([len(a)]), np.array([len(b)]), 80).all()
+
+
+def brute_repeats(rows, min_words):
+    found = [
+        (i, p, s, s + len(line), word_set(line))
+        for i, t in rows if t is not None
+        for p, (s, line) in enumerate(zip(np.cumsum([0, *(len(x) + 1 for x in t.split("\n"))]).tolist(), t.split("\n")))
+        if len(re.findall("[^\x20\x09-\x0d]+", line)) >= min_words
+    ]
+    pairs = [(x, y) for x in range(len(found)) for y in range(x) if 5 * len(found[x][4] & found[y][4]) >= 4 * len(found[x][4] | found[y][4])]
+    groups = defaultdict(list)
+    for n, r in classes_of(pairs, range(len(found))).items():
+        groups[r].append(found[n][:4])
+    out = Counter()
+    for g in groups.values():
+        if len(g) > 1:
+            first = min(g, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+            for i, p, s, e in g:
+                out[i, p, s, e, first[0], first[1], len(g), (i, p, s) != first[:3]] += 1
+    return out
+
+
+def test_substring_dedup(docs):
+    got = substring_dedup.repeats(docs, min_words=6)
+    assert Counter(tuple(r) for r in got.collect()) == brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()], 6)
+
+
+def test_substring_removal(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"é a\n{line}\nb", 5), (2, f"c\n{line.upper()}", 6), (3, None, 7), (4, f"{line}\n{line}", 8)], "doc_id long, text string, first long")
+    left = substring_dedup.without_repeats(docs, substring_dedup.repeats(docs))
+    assert sorted(map(tuple, left.collect())) == [(1, f"é a\n{line}\nb", 5), (2, "c", 6), (3, None, 7), (4, "", 8)]
+
+
+def test_bands():
+    assert 1 - (1 - 0.8**4) ** substring_dedup.bands_for(80, 0.999) >= 0.999
