@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._shared import WORD_TABLE, alnum_words, cut, slices, utf8
 
@@ -92,44 +93,54 @@ def word_spans(text: bytes, numbers: np.ndarray) -> list[tuple[int, int]]:
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items, spans) for every row of docs: sorted ids of items with occurring windows, and the
-    hit stretches as offsets in the original text."""
+def find(docs: DataFrame, items: DataFrame, width: int = 8, keep: list[str] | None = None, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", prefix: str = "") -> DataFrame:
+    """The keep columns (doc_id, if none are named) and n_words, n_hit, items, spans for every row of docs: sorted ids
+    of items with occurring windows, and the hit stretches as offsets in the original text. The prefix goes before the
+    names of the new columns."""
+    keep = keep or ["doc_id"]
     windows = cut(item_windows(items, width, item_id, item_text), "windows")
     n, size = windows.agg(F.countDistinct("window"), F.coalesce(F.sum(F.length("window")), F.lit(0))).first()
     if n > MAX_WINDOWS or size > MAX_WINDOW_BYTES:
-        return _find_joined(docs, windows, width, id_col, text_col)
+        return _find_joined(docs, windows, keep, text_col, prefix)
     by_window: dict[bytes, list[str]] = {}
     for w, item in windows.toLocalIterator():
         by_window.setdefault(bytes(w), []).extend([item] if item is not None else [])
     sent = docs.sparkSession.sparkContext.broadcast(sorted(by_window.items()))
-    kind = docs.schema[id_col].dataType.simpleString()
+    schema = _result_schema(docs, keep, prefix)
 
     def look(batches):
         listed = sent.value
         built = automaton(listed)
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for t in utf8(b.column(1)):
+            for t in utf8(b.column(len(keep))):
                 words, hit, which = scan(built, t or b"")
                 found = sorted({x for i in which for x in listed[i][1]})
                 for column, value in zip(out, (words, len(hit), found, [{"start": s, "end": e} for s, e in word_spans(t or b"", hit)]), strict=True):
                     column.append(value)
-            yield _batch(b.column(0), out, id_col)
+            yield _batch(b.columns[: len(keep)], out, schema)
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(look, f"`{id_col}` {kind}, {RESULT}")
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("_bd_text")).mapInArrow(look, schema)
 
 
-def _batch(keys: pa.Array, out: list[list], id_col: str) -> pa.RecordBatch:
+def _result_schema(docs: DataFrame, keep: list[str], prefix: str) -> StructType:
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
+    for f in StructType.fromDDL(RESULT):
+        schema = schema.add(prefix + f.name, f.dataType)
+    return schema
+
+
+def _batch(kept: list[pa.Array], out: list[list], schema: StructType) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    return pa.RecordBatch.from_arrays([keys, *map(pa.array, out, kinds)], [id_col, "n_words", "n_hit", "items", "spans"])
+    return pa.RecordBatch.from_arrays([*kept, *map(pa.array, out, kinds)], schema.names)
 
 
-def _find_joined(docs: DataFrame, windows: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def _find_joined(docs: DataFrame, windows: DataFrame, keep: list[str], text_col: str, prefix: str) -> DataFrame:
     """The same result where the windows are too many to broadcast: an equi-join on a hash of the window."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     lengths = sorted(r[0] for r in windows.select((F.length(F.regexp_replace(F.decode("window", "ISO-8859-1"), "[^ ]", "")) + 1).alias("k")).distinct().collect())
-    rows = cut(docs.select(F.expr("uuid()").alias("_row"), F.col(id_col), F.col(text_col).cast("string").alias("_text")), "decontaminate")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_kept")
+    rows = cut(docs.select(F.expr("uuid()").alias("_row"), kept, F.col(text_col).cast("string").alias("_text")), "decontaminate")
+    schema = _result_schema(docs, keep, prefix)
 
     def hashes(batches):
         for b in batches:
@@ -161,7 +172,7 @@ def _find_joined(docs: DataFrame, windows: DataFrame, width: int, id_col: str, t
     def merge(batches):
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for t, items, at in zip(utf8(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for t, items, at in zip(utf8(b.column(len(keep))), *(b.column(len(keep) + i).to_pylist() for i in (1, 2)), strict=True):
                 n = len(alnum_words(t or b""))
                 edges = np.zeros(n + 1, np.int64)
                 for p in at or []:
@@ -170,11 +181,10 @@ def _find_joined(docs: DataFrame, windows: DataFrame, width: int, id_col: str, t
                 hit = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
                 for column, value in zip(out, (n, len(hit), items or [], [{"start": s, "end": e} for s, e in word_spans(t or b"", hit)]), strict=True):
                     column.append(value)
-            yield _batch(b.column(0), out, id_col)
+            yield _batch(b.columns[: len(keep)], out, schema)
 
-    whole = rows.join(found, "_row", "left").select(id_col, "_text", "items", "at")
-    assert spark is whole.sparkSession
-    return whole.mapInArrow(merge, f"`{id_col}` {kind}, {RESULT}")
+    whole = rows.join(found, "_row", "left").select("_kept.*", F.col("_text").alias("_bd_text"), F.col("items").alias("_bd_items"), F.col("at").alias("_bd_at"))
+    return whole.mapInArrow(merge, schema)
 
 
 def contaminated(found: DataFrame, least_items: int = 2) -> DataFrame:

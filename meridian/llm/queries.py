@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_decontamination, best_fit_packing, document_fingerprints, license_scans, line_dedup, ngram_jaccard_join, secret_scans, substring_dedup, token_counts
+from . import benchmark_decontamination, best_fit_packing, document_fingerprints, license_scans, line_dedup, ngram_jaccard_join, quality_classifier, secret_scans, substring_dedup, token_counts
 from ._shared import table
 
 #: Tokens of a training sequence, and the vocabulary that counts them.
@@ -13,6 +13,8 @@ SEQUENCE_TOKENS = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Sites that must hold a line before it counts as boilerplate.
 MIN_SITES = 10
+#: Score from which a document counts as good.
+KEPT_SCORE = 0.7
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -30,6 +32,11 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= KEPT_SCORE).cast("int").alias("predicted"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
