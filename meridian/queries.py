@@ -5,6 +5,7 @@ Sums of floating-point numbers depend on their order, so both sides round them t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from .testmodel import MODEL
 DIGITS = 4
 
 
+@functools.lru_cache(4)
 def project(spark: SparkSession, sf_dir: str) -> Project:
     return Project(spark, MODEL, Catalog(spark, sf_dir))
 

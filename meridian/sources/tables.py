@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..errors import ModelError
 
@@ -52,6 +53,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str | None = None, default_schema: str | None = None, frames: dict[str, DataFrame] | None = None):
         self.spark, self.root, self.default_schema, self.frames = spark, root, default_schema, frames or {}
+        self._schemas: dict[str, StructType] = {}
 
     @classmethod
     def from_profile(cls, spark: SparkSession, kind: str, parameters: dict) -> Catalog:
@@ -66,7 +68,7 @@ class Catalog:
             if source in self.frames:
                 return self.frames[source]
             if self.root:
-                return self.spark.read.parquet(f"{self.root}/{source}.parquet")
+                return self._parquet(f"{self.root}/{source}.parquet")
             return self.spark.table(f"{self.default_schema}.{source}" if self.default_schema and "." not in source else source)
         if not isinstance(source, dict):
             raise ModelError(f"{source!r} isn't a source")
@@ -79,3 +81,9 @@ class Catalog:
         if "table" not in source:
             raise ModelError("a source needs a table, a path or a type")
         return self.spark.table(f"{source['schema']}.{source['table']}" if source.get("schema") else source["table"])
+
+    def _parquet(self, path: str) -> DataFrame:
+        """Footers are read for the schema once; the files are listed anew each time."""
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
