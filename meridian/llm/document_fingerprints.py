@@ -3,8 +3,9 @@
 Every paragraph (line) is hashed to a wide vector of 32-bit lanes, and a document's fingerprint is the sum of its
 paragraphs' vectors modulo 2**32. The order of paragraphs doesn't matter, and one is inserted or deleted by adding or
 subtracting its vector (`combined`). A vector has DENSE lanes that every paragraph fills, which decide equality, and
-SPARSE lanes of which each sentence of the paragraph fills one, so that two fingerprints agree in the more lanes the
-more sentences the documents share: `likeness` is the share of equal lanes among those that either fills.
+sparse lanes of which each clause of the paragraph fills one, so that two fingerprints agree in the more lanes the more
+clauses the documents share: `likeness` is the share of equal lanes among those that either fills. Long documents fill
+all of the first sparse lanes; the second, coarse ones take one clause of COARSE_SHARE and are looked at for such documents.
 
 Edge cases: null texts count as empty, which is one empty paragraph; repeated rows give a row each; a null id sorts
 before all others; other columns are ignored; an empty table gives no rows; one document is its own successor.
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DENSE, SPARSE = 8, 64
+#: Dense, sparse and coarse lanes; one clause of COARSE_SHARE is in coarse lanes.
+DENSE, SPARSE, COARSE, COARSE_SHARE = 8, 128, 64, 16
 MASK = (1 << 32) - 1
 #: Documents of a bucket of neighbours in id order, about; a window puts each beside its successor.
 BUCKET_ROWS = 1024
@@ -25,14 +27,17 @@ MOST_BUCKETS = 4096
 def lanes(text: str) -> Column:
     """The fingerprint of a text column (or SQL expression) as an array of longs below 2**32."""
     paragraphs = f"transform(split({text}, '\\\\n'), p -> xxhash64(p))"
-    sentences = f"transform(split({text}, '(?<=[.!?]) +|\\\\n'), s -> xxhash64(s, 1))"
+    clauses = f"transform(split({text}, '(?<=[.,;:!?]) +|\\\\n'), s -> xxhash64(s, 1))"
     dense = f"transform(sequence(0, {DENSE - 1}), i -> aggregate(h.p, 0L, (a, x) -> (a + (xxhash64(x, i) & {MASK}L)) & {MASK}L))"
-    sparse = (
-        f"transform(sequence(0L, {SPARSE - 1}L), i -> aggregate(filter(h.s, x -> (x & {SPARSE - 1}L) = i), 0L, "
-        f"(a, x) -> (a + (shiftrightunsigned(x, 16) & {MASK}L)) & {MASK}L))"
-    )
+
+    def sparse(hashes: str, lanes: int) -> str:
+        total = f"aggregate(filter({hashes}, x -> (x & {lanes - 1}L) = i), 0L, (a, x) -> (a + (shiftrightunsigned(x, 20) & {MASK}L)) & {MASK}L)"
+        return f"transform(sequence(0L, {lanes - 1}L), i -> {total})"
+
+    few = f"filter(h.s, x -> (shiftrightunsigned(x, 8) & {COARSE_SHARE - 1}L) = 0)"
+    coarse = f"transform(array({few}), few -> {sparse('few', COARSE)})[0]"
     # The hashes are bound to one lambda variable, so that they are made once and not for every lane.
-    return F.expr(f"transform(array(named_struct('p', {paragraphs}, 's', {sentences})), h -> concat({dense}, {sparse}))[0]")
+    return F.expr(f"transform(array(named_struct('p', {paragraphs}, 's', {clauses})), h -> concat({dense}, {sparse('h.s', SPARSE)}, {coarse}))[0]")
 
 
 def combined(a: str, b: str, sign: int = 1) -> Column:
@@ -46,12 +51,16 @@ def text_of(fingerprint: str) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1; 1 if the dense lanes are equal."""
-    pairs = f"slice(arrays_zip({a}, {b}), {DENSE + 1}, {SPARSE})"
-    filled = f"filter({pairs}, z -> z['{a}'] != 0 or z['{b}'] != 0)"
-    return F.expr(
-        f"case when slice({a}, 1, {DENSE}) = slice({b}, 1, {DENSE}) then 1D else "
-        f"coalesce(size(filter({filled}, z -> z['{a}'] = z['{b}'])) / nullif(size({filled}), 0), 0D) end"
-    )
+
+    def share(start: int, lanes: int) -> str:
+        return (
+            f"transform(array(filter(slice(arrays_zip({a}, {b}), {start + 1}, {lanes}), z -> z['{a}'] != 0 or z['{b}'] != 0)), "
+            f"f -> named_struct('filled', size(f) / {lanes}, 'equal', coalesce(size(filter(f, z -> z['{a}'] = z['{b}'])) / nullif(size(f), 0), 0D)))[0]"
+        )
+
+    levels = f"struct({share(DENSE, SPARSE)} as fine, {share(DENSE + SPARSE, COARSE)} as coarse)"
+    chosen = f"transform(array({levels}), l -> if(l.fine.filled > 0.75, l.coarse.equal, l.fine.equal))[0]"
+    return F.expr(f"case when slice({a}, 1, {DENSE}) = slice({b}, 1, {DENSE}) then 1D else {chosen} end")
 
 
 def _bucket(bounds: list[int], low: int = 0) -> str:
