@@ -6,13 +6,11 @@ columns of documents. Null and empty texts pass through every stage as documents
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import benchmark_decontamination, best_fit_packing, line_dedup, ngram_jaccard_join, quality_classifier
-from meridian.llm._shared import shared_dir, table
+from meridian.llm._shared import cut, table
 from meridian.llm.queries import MIN_SITES, SEQUENCE_TOKENS, vocabulary_path
 
 #: Score below which a document is rejected, and benchmark items from which on it counts as leaked.
@@ -58,7 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -1,11 +1,16 @@
 """From postings to links and components, without cross joins and without all pairs of a group of copies.
 
-Postings (key, id, size) name sets that may be similar: sets of equal key. The work goes in two rounds, so that a large
+Postings (key, id, size) name sets that may be similar: sets of equal key. The work goes in rounds, so that a large
 group of similar sets costs one comparison a member and not one a pair, and yet no link between components is lost:
 
-1. In each key's tile, cut into bands of size, every set is compared with the smallest of its band.
-2. Tiles whose members then lie in one component are done. In the others all pairs of different components whose sizes
-   and bitmaps allow enough overlap are compared.
+1. In each key's tile, cut into bands of size, every set is compared with the smallest of its band. Tiles whose members
+   then lie in one component are done.
+2. In a share of the others, every set is compared with one that is drawn by a hash of tile and id. A group of similar
+   sets has another such pivot in each tile, so it falls together even if its smallest set is an outlier.
+3. In tiles that still hold several components, every set is compared with the one of another component of which sizes
+   and bitmaps promise most.
+4. In what then is left all pairs of different components whose sizes and bitmaps allow enough overlap are compared. So
+   no link between components is lost, whatever the rounds before have found.
 
 Comparisons are exact; the caller brings them as `verify`.
 """
@@ -22,23 +27,38 @@ from pyspark.sql import functions as F
 
 from ._shared import cut
 
-#: Bits of a set's bitmap; each member toggles one, so the bits that differ are at most the members that differ.
-BITMAP_BITS = 1024
+#: Least bits of a set's bitmap. A set has twice to four times its size, in powers of two, so that bitmaps never fill up.
+BITMAP_BITS = 512
 #: Rows compared at a time with what a tile holds so far; bounds the memory of a comparison.
 TILE_ROWS = 512
+#: Pairs that a comparison holds before it hands them on.
+PAIR_BATCH = 50_000
+#: Pivots by chance are drawn in one tile of so many.
+CHANCE_SHARE = 4
 
 
-def bitmap(members: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
+def bitmap(members: np.ndarray) -> bytes:
+    """Each member toggles one bit, so the bits that differ between two sets are at most the members that differ."""
+    bits = max(BITMAP_BITS, 2 << len(members).bit_length())
     flips = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def overlap_possible(bits_a: np.ndarray, bits_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether 100 * overlap >= percent * union can hold: bitmaps bound the overlap from above."""
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (one a row) of fewer 64-bit words: as if made with fewer bits at once."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def most_overlap(bits_a: np.ndarray, bits_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlap: bits that differ are members that differ."""
     apart = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1).astype(np.int64)
-    total = size_a.astype(np.int64) + size_b
-    most = np.minimum((total - apart) // 2, np.minimum(size_a, size_b))
-    return 100 * most >= percent * (total - most)
+    return np.minimum((size_a.astype(np.int64) + size_b - apart) // 2, np.minimum(size_a, size_b))
+
+
+def overlap_possible(bits_a: np.ndarray, bits_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether 100 * overlap >= percent * union can hold."""
+    most = most_overlap(bits_a, bits_b, size_a, size_b)
+    return 100 * most >= percent * (size_a.astype(np.int64) + size_b - most)
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -95,9 +115,14 @@ def _tile_batch(key, ids, size, pivot) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(pivot, pa.int64())], ["key", "id", "size", "pivot"])
 
 
-def _fixed(column: pa.Array) -> np.ndarray:
-    """Rows of equally long binaries as a matrix of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def _by_length(rows: list[bytes]) -> dict[int, np.ndarray]:
+    """Row numbers by the length of their bitmaps in 64-bit words."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 8
+    return {int(m): np.flatnonzero(lengths == m) for m in np.unique(lengths)}
+
+
+def _matrix(rows: list[bytes], at: np.ndarray, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join([rows[i] for i in at.tolist()]), np.uint64).reshape(len(at), words)
 
 
 def promising(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -105,49 +130,77 @@ def promising(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
 
     def test(batches):
         for b in batches:
-            if b.num_rows:
-                ok = overlap_possible(_fixed(b.column(2)), _fixed(b.column(3)), *(b.column(i).to_numpy() for i in (4, 5)), percent)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            size_a, size_b = (b.column(i).to_numpy() for i in (4, 5))
+            ok = np.zeros(b.num_rows, bool)
+            for m, rows in _by_length(x).items() if x else ():
+                for n, of in _by_length([y[i] for i in rows.tolist()]).items():
+                    at, words = rows[of], min(m, n)
+                    ok[at] = overlap_possible(folded(_matrix(x, at, m), words), folded(_matrix(y, at, n), words), size_a[at], size_b[at], percent)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
     of = lambda side: features.select(F.col("id").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("size").cast("int").alias(f"size_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "bits_a", "bits_b", "size_a", "size_b")
     return both.mapInArrow(test, "a long, b long")
 
 
-def cross_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different roots in a tile that sizes and bitmaps allow; rest: key, id, size, root, bits."""
+class Tile:
+    """What of one key has been seen, in order of size, by the length of the bitmaps."""
+
+    def __init__(self):
+        self.seen: dict[int, list[np.ndarray]] = {}
+
+    def pairs(self, ids: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray, percent: int, best: bool):
+        """Add rows of bitmaps of one length; pairs of ids of different roots with them that may be similar: all, or
+        that of the greatest bound for each row."""
+        words, least = bits.shape[1], int(size[0]) * percent
+        self.seen = {m: [x[keep] for x in rows] for m, rows in self.seen.items() if (keep := rows[1].astype(np.int64) * 100 >= least).any()}
+        before = {m: len(rows[0]) for m, rows in self.seen.items()}
+        own = self.seen.setdefault(words, [x[:0] for x in (ids, size, root, bits)])
+        self.seen[words] = [np.concatenate(x) for x in zip(own, (ids, size, root, bits), strict=True)]
+        for m, (ids_m, size_m, root_m, bits_m) in self.seen.items():
+            mine = folded(bits, m) if m < words else bits
+            for t in range(len(ids)):
+                n = before.get(m, 0) + (t if m == words else 0)
+                at = np.flatnonzero((root_m[:n] != root[t]) & (size_m[:n].astype(np.int64) * 100 >= int(size[t]) * percent))
+                if len(at):
+                    most = most_overlap(bits_m[at], mine[t], size_m[at], np.full(len(at), size[t]))
+                    ok = 100 * most >= percent * (size_m[at].astype(np.int64) + int(size[t]) - most)
+                    at, most = at[ok], most[ok]
+                    if best and len(at):
+                        at = at[[int(most.argmax())]]
+                    if len(at):
+                        yield ids_m[at], np.full(len(at), ids[t])
+
+
+def cross_pairs(rest: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Distinct pairs (a, b) of different roots in a tile that sizes and bitmaps allow, or the best of them for each row;
+    rest: key, id, size, root, bits."""
+
+    def batch(found):
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def compare(batches):
-        key, kept = None, None
+        key, tile, found, held = None, Tile(), [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
             keys, ids, size, root = (b.column(i).to_numpy() for i in range(4))
-            bits = _fixed(b.column(4))
-            cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            rows = b.column(4).to_pylist()
+            lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (lengths[1:] != lengths[:-1]))) if len(keys) else keys
             for lo, hi in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
                 if keys[lo] != key:
-                    key, kept = keys[lo], None
+                    key, tile = keys[lo], Tile()
                 for s in range(lo, hi, TILE_ROWS):
-                    part = tuple(x[s : min(s + TILE_ROWS, hi)] for x in (ids, size, root, bits))
-                    if kept is not None:
-                        enough = kept[1].astype(np.int64) * 100 >= int(part[1][0]) * percent  # tiles are in order of size
-                        kept = tuple(x[enough] for x in kept)
-                    kept = part if kept is None else tuple(np.concatenate(x) for x in zip(kept, part, strict=True))
-                    n = len(kept[0])
-                    base = n - len(part[0])
-                    a_out, b_out = [], []
-                    for t in range(len(part[0])):
-                        i = base + t
-                        ok = (kept[2][:i] != part[2][t]) & (kept[1][:i].astype(np.int64) * 100 >= int(part[1][t]) * percent)
-                        at = np.flatnonzero(ok)
-                        if len(at):
-                            at = at[overlap_possible(kept[3][at], part[3][t], kept[1][at], np.full(len(at), part[1][t]), percent)]
-                            a_out.append(kept[0][at])
-                            b_out.append(np.full(len(at), part[0][t]))
-                    if a_out and sum(map(len, a_out)):
-                        x, y = np.concatenate(a_out), np.concatenate(b_out)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    at = np.arange(s, min(s + TILE_ROWS, hi))
+                    for pair in tile.pairs(ids[at], size[at], root[at], _matrix(rows, at, int(lengths[lo]) // 8), percent, best):
+                        found.append(pair)
+                        held += len(pair[0])
+                        if held >= PAIR_BATCH:
+                            yield batch(found)
+                            found, held = [], 0
+        if found:
+            yield batch(found)
 
     dealt = rest.select("key", "id", "size", "root", "bits").repartition("key").sortWithinPartitions("key", "size", "id")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
@@ -180,11 +233,25 @@ def linked_components(postings: DataFrame, features: DataFrame, verify: Callable
     stars = grouped.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = cut(verify(cut(promising(stars, features, percent), "pairs")), "links")
     found = cut(components(links), "components")
-    rooted = grouped.select("key", "id", "size").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = rooted.join(mixed, "key").join(features.select("id", "bits"), "id")
-    pairs = cut(cross_pairs(rest, percent), "pairs")
-    if not pairs.isEmpty():
-        more = cut(verify(pairs), "links")
-        found = cut(components(links.unionByName(more)), "components")
+    rest = cut(_several(grouped, found), "rest")
+    some = rest.where(F.pmod(F.xxhash64("key"), F.lit(CHANCE_SHARE)) == 0)
+    drawn = some.groupBy("key", "pivot").agg(F.min(F.struct(F.xxhash64("key", "id"), F.col("id").alias("other"), F.col("root").alias("other_root"))).alias("p"))
+    stars = some.join(drawn, ["key", "pivot"]).where("root != p.other_root").select(F.least("id", "p.other").alias("a"), F.greatest("id", "p.other").alias("b")).distinct()
+    pairs = promising(stars, features, percent)
+    for turn in ("chance", "best", "all"):
+        if turn != "chance":
+            rest = cut(_several(rest, found), "rest")
+            pairs = cross_pairs(rest.join(features.select("id", "bits"), "id"), percent, best=turn == "best")
+        pairs = cut(pairs, "pairs")
+        if not pairs.isEmpty():
+            links = cut(links.unionByName(verify(pairs)), "links")
+            found = cut(components(links), "components")
     return found
+
+
+def _several(tiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Tiles whose members lie in several components, with each member's root. Components only grow together, so a tile
+    that is left out needn't be looked at again."""
+    rooted = tiles.select("key", "id", "size", "pivot").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return rooted.join(mixed, "key")

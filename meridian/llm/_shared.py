@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import hashlib
+import itertools
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +19,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker splits into words at a time; bounds its memory whatever the Arrow batch holds.
-SLICE_BYTES = 2_000_000
-#: Entries of a per-worker word cache; it is emptied at this size. Longer words are never kept.
-CACHE_ENTRIES = 400_000
+SLICE_BYTES = 1_000_000
+#: Longer words and chunks are never kept in a worker's caches.
 CACHE_WORD_BYTES = 64
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's sources to Python workers, once for a context, so that they can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_meridian_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    if package.is_dir():  # else it came as an archive itself
+        archive = Path(tempfile.mkdtemp(prefix="sources-")) / "meridian_sources.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    context._meridian_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,21 +110,6 @@ def slices(texts: list[bytes | None], most: int = SLICE_BYTES):
         yield start, len(texts)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= CACHE_WORD_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits in which every bit counts."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -110,7 +117,92 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+
 _ODD = [np.uint64(2 * int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=7).digest(), "little") + 1) for i in range(64)]
+#: Bytes whose words are hashed at once; about 45 bytes of memory for each. Longer texts go piece by piece.
+HASH_BYTES = 4_000_000
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[40])[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+_RADIX = _ODD[41]
+_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    ones = np.ones(n, np.uint64)
+    return tuple(np.multiply.accumulate(np.concatenate((ones[:1], ones[1:] * r))) for r in (_RADIX, _INVERSE))
+
+
+def _hashed(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start offsets of the words of a buffer. A word's hash is a polynomial of its bytes' random values
+    modulo 2**64, A-Z counting as a-z, so all of a buffer's are differences of one running sum."""
+    powers, inverse = _powers(1 << max(20, int(len(buffer)).bit_length()))
+    inside = np.concatenate(([False], ~_SPACE[buffer], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum(_VALUE[buffer] * powers[: len(buffer)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD[42]), starts
+
+
+def _hashed_long(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a text of any length, in pieces that end at white space; a longer word is summed block by block."""
+    hashes, places, at = [], [], 0
+    while at < len(text):
+        piece = text[at : at + HASH_BYTES]
+        if at + len(piece) < len(text):
+            end = len(piece.rstrip(_NO_SPACE))
+            if not end:  # a word that is longer than a piece
+                rest = min((x for x in (text.find(bytes([c]), at) for c in b"\x09\x0a\x0b\x0c\x0d\x20") if x >= 0), default=len(text))
+                total, power = 0, 1
+                for lo in range(at, rest, 1 << 20):
+                    block = np.frombuffer(text[lo : min(lo + (1 << 20), rest)], np.uint8)
+                    total += int((_VALUE[block] * _powers(1 << 21)[0][: len(block)]).sum()) * power
+                    power = power * pow(int(_RADIX), len(block), 1 << 64) % (1 << 64)
+                total = (total + (rest - at) * int(_ODD[42])) % (1 << 64)
+                hashes.append(mixed(np.array([total], np.uint64)))
+                places.append(np.array([at]))
+                at = rest
+                continue
+            piece = piece[:end]
+        h, s = _hashed(np.frombuffer(piece, np.uint8))
+        hashes.append(h)
+        places.append(s + at)
+        at += len(piece)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+_NO_SPACE = bytes(c for c in range(256) if not _SPACE[c])
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, their offsets in the joined texts, the texts' offsets there
+    (one more than texts), and the texts joined by line feeds."""
+    whole = b"\n".join(t or b"" for t in texts) + b"\n"
+    offsets = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    hashes, starts = _hashed(np.frombuffer(whole, np.uint8)) if len(whole) <= HASH_BYTES else _hashed_long(whole)
+    return hashes, starts, offsets, whole
+
+
+def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int = 5, only: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """shingles() of hashes[bounds[i] : bounds[i + 1]] for each i (or those of `only`), hashed together."""
+    every = _shingled(hashes, k) if len(hashes) >= k else hashes[:0]
+    ends = list(itertools.pairwise(bounds.tolist()))
+    for lo, hi in ends if only is None else [ends[i] for i in only.tolist()]:
+        yield distinct(every[lo : hi - k + 1]) if hi - lo >= k else shingles(hashes[lo:hi], k)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])]
+
+
+def _shingled(hashes: np.ndarray, k: int) -> np.ndarray:
+    n = len(hashes) - k + 1
+    out = hashes[:n] * _ODD[0]
+    for i in range(1, k):
+        out += hashes[i : n + i] * _ODD[i]
+    return mixed(out)
 
 
 def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
@@ -123,10 +215,7 @@ def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
         for i in range(n):
             out = mixed(out + hashes[i : i + 1] * _ODD[32 + i])
         return out
-    out = hashes[: n - k + 1] * _ODD[0]
-    for i in range(1, k):
-        out = out + hashes[i : n - k + 1 + i] * _ODD[i]
-    return np.unique(mixed(out))
+    return distinct(_shingled(hashes, k))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

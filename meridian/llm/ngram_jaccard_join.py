@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._links import bitmap, linked_components
-from ._shared import WordHashes, cut, id_filter, jaccard_at_least, set_id, shingles, signed, slices, space_words, utf8
+from ._shared import cut, hashed_words, id_filter, jaccard_at_least, set_id, shingle_sets, signed, slices, utf8
 
 #: Shingles are counted over so many at a time within a partition; those met fewer times there aren't reported.
-COUNT_BLOCK, COUNT_LEAST = 3_000_000, 4
+COUNT_BLOCK, COUNT_LEAST = 2_000_000, 2
 #: Frequent shingles that are put last, at most; 9 bytes each in memory. Which they are changes the cost alone.
-MOST_FREQUENT, FREQUENT_LEAST = 500_000, 12
+MOST_FREQUENT, FREQUENT_LEAST = 500_000, 8
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -33,32 +33,36 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def set_arrays(texts: list[bytes | None], hashes: WordHashes, k: int):
-    for t in texts:
-        yield shingles(hashes.of(space_words(t or b"")), k)
+def set_arrays(texts: list[bytes | None], k: int):
+    hashes, starts, offsets, _ = hashed_words(texts)
+    return shingle_sets(hashes, np.searchsorted(starts, offsets), k)
 
 
 def signatures(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for every document: (id, size, sid: number of its set, bits); and rows (key, n) of frequent shingles."""
+    """A row for every document: (id, size, sid: number of its set, th: hash of its text, bits); and rows (key, n) of
+    frequent shingles."""
 
     def sign(batches):
-        hashes, block, held, seen = WordHashes(), [], 0, set()
+        block, held, seen = [], 0, set()
 
         def frequent():
-            values, counts = np.unique(np.concatenate(block), return_counts=True) if block else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            values = np.concatenate(block)
+            values.sort()
+            starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            values, counts = values[starts], np.diff(np.append(starts, len(values)))
             keep = counts >= COUNT_LEAST
             n = int(keep.sum())
             none = pa.nulls(n, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, key_type), none, none, pa.nulls(n, pa.binary()), pa.array(signed(values[keep]), pa.int64()), pa.array(counts[keep], pa.int64())], names
+                [pa.nulls(n, key_type), none, none, none, pa.nulls(n, pa.binary()), pa.array(signed(values[keep]), pa.int64()), pa.array(counts[keep], pa.int64())], names
             )
 
-        names, key_type = ["id", "size", "sid", "bits", "key", "n"], None
+        names, key_type = ["id", "size", "sid", "th", "bits", "key", "n"], None
         for b in batches:
             key_type, texts = b.column(0).type, utf8(b.column(1))
             for lo, hi in slices(texts):
                 sizes, sids, bits = [], [], []
-                for s in set_arrays(texts[lo:hi], hashes, k):
+                for s in set_arrays(texts[lo:hi], k):
                     sizes.append(len(s))
                     sids.append(set_id(s))
                     bits.append(bitmap(s))
@@ -71,13 +75,14 @@ def signatures(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: st
                             block, held = [], 0
                 n = hi - lo
                 none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(bits, pa.binary()), none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), b.column(2)[lo:hi], pa.array(bits, pa.binary()), none, none], names)
         if block:
             yield frequent()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(sign, f"id {kind}, size long, sid long, bits binary, key long, n long")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return picked.mapInArrow(sign, f"id {kind}, size long, sid long, th long, bits binary, key long, n long")
 
 
 def frequent_shingles(signed_rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +101,12 @@ def postings(docs: DataFrame, frequent, percent: int, k: int, text_col: str) ->
 
     def post(batches):
         known, classes = frequent.value
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for b in batches:
             texts = utf8(b.column(0))
             for lo, hi in slices(texts):
                 keys, ids, sizes, counts = [], [], [], []
-                for s in set_arrays(texts[lo:hi], hashes, k):
+                for s in set_arrays(texts[lo:hi], k):
                     if not len(s) or (sid := set_id(s)) in seen:
                         continue
                     seen.add(sid)
@@ -137,25 +142,27 @@ def verified(pairs: DataFrame, content: DataFrame, percent: int) -> DataFrame:
 
 
 def members(docs: DataFrame, wanted: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(id, members) of the wanted sets: one row for each, made again from the texts."""
-    passes = id_filter(wanted, "id")
+    """(id, members) of the wanted (id, th) sets: one row for each, made again from texts of the hash th."""
+    passes = id_filter(wanted, "th")
 
     def make(batches):
-        ok = passes() if passes else None
-        hashes, seen = WordHashes(), set()
+        ok, seen = passes() if passes else None, set()
         for b in batches:
+            if ok is not None:
+                b = b.filter(pa.array(ok(b.column(1).to_numpy(zero_copy_only=False))))
             texts = utf8(b.column(0))
             for lo, hi in slices(texts):
                 ids, rows = [], []
-                for s in set_arrays(texts[lo:hi], hashes, k):
-                    if len(s) and (sid := set_id(s)) not in seen and (ok is None or ok(np.array([sid]))[0]):
+                for s in set_arrays(texts[lo:hi], k):
+                    if len(s) and (sid := set_id(s)) not in seen:
                         seen.add(sid)
                         ids.append(sid)
                         rows.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["id", "members"])
 
-    made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(make, "id long, members binary")
-    return made.dropDuplicates(["id"]).join(wanted.select("id"), "id", "left_semi")
+    text = F.col(text_col).cast("string")
+    made = docs.select(text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(make, "id long, members binary")
+    return made.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def ids_of(pairs: DataFrame) -> DataFrame:
@@ -168,10 +175,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     rows = cut(signatures(docs, k, id_col, text_col), "signatures")
     sent = spark.sparkContext.broadcast(frequent_shingles(rows))
     sets = rows.where("sid is not null")
-    features = sets.where("size > 0").groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    features = sets.where("size > 0").groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("th").alias("th"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        content = cut(members(docs, cut(ids_of(pairs), "ids"), k, text_col), "members")
+        wanted = cut(ids_of(pairs).join(features.select("id", "th"), "id"), "wanted")
+        content = cut(members(docs, wanted, k, text_col), "members")
         return verified(pairs, content, percent)
 
     found = linked_components(postings(docs, sent, percent, k, text_col), features, verify, percent)

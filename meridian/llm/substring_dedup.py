@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._links import bitmap, linked_components
-from ._shared import WordHashes, cut, id_filter, mixed, set_id, shingles, signed, slices, space_words, utf8
+from ._shared import cut, hashed_words, id_filter, mixed, set_id, shingle_sets, signed, slices, utf8
 from .ngram_jaccard_join import ids_of, verified
 
-#: Bits of a paragraph's bitmap, and MinHash values of a band.
-PARAGRAPH_BITS, ROWS = 256, 4
+#: MinHash values of a band.
+ROWS = 4
 
 
 def bands_for(percent: int, recall: float, rows: int = ROWS) -> int:
@@ -55,64 +55,68 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys
 
 
-def _lines(text: bytes, min_words: int):
-    """(number, start and end byte, words) of every paragraph of a text."""
-    at = 0
-    for i, line in enumerate(text.split(b"\n")):
-        words = space_words(line)
-        if len(words) >= min_words:
-            yield i, at, at + len(line), words
-        at += len(line) + 1
+def _paragraphs(texts: list[bytes | None], min_words: int, k: int):
+    """(text number, line number, start and end byte in the text, number of the words, set of shingles) of every
+    paragraph of some texts."""
+    hashes, starts, offsets, whole = hashed_words(texts)
+    ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)  # each text ends with a line feed of its own
+    begins = np.append(0, ends[:-1] + 1)
+    bounds = np.searchsorted(starts, np.append(begins, len(whole)))
+    text_of = np.searchsorted(offsets, begins, "right") - 1
+    first_line = np.searchsorted(begins, offsets[:-1])
+    long = np.flatnonzero(np.diff(bounds) >= min_words)
+    for i, s in zip(long.tolist(), shingle_sets(hashes, bounds, k, long), strict=True):
+        t = int(text_of[i])
+        yield t, i - int(first_line[t]), int(begins[i] - offsets[t]), int(ends[i] - offsets[t]), set_id(hashes[bounds[i] : bounds[i + 1]]), s
 
 
 def paragraphs(docs: DataFrame, min_words: int, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, start, end, sid: number of its words, size: of its set of shingles, bits) of every paragraph;
-    start and end in code points."""
+    """(id, paragraph, start, end, sid: number of its words, size: of its set of shingles, th: hash of its text, bits) of
+    every paragraph; start and end in code points."""
 
     def find(batches):
-        hashes = WordHashes()
         for b in batches:
             texts = utf8(b.column(1))
             for lo, hi in slices(texts):
                 out: list[list] = [[] for _ in range(7)]
-                for r in range(lo, hi):
-                    text = texts[r] or b""
-                    points = None if text.isascii() else np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
-                    for i, start, end, words in _lines(text, min_words):
-                        h = hashes.of(words)
-                        s = shingles(h, k)
-                        if points is not None:
-                            start, end = int(points[start]), int(points[end])
-                        for column, value in zip(out, (r, i, start, end, set_id(h), len(s), bitmap(s, PARAGRAPH_BITS)), strict=True):
-                            column.append(value)
+                points, of = None, -1
+                for t, i, start, end, sid, s in _paragraphs(texts[lo:hi], min_words, k):
+                    if t != of:
+                        of, text = t, texts[lo + t] or b""
+                        points = None if text.isascii() else np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+                    if points is not None:
+                        start, end = int(points[start]), int(points[end])
+                    for column, value in zip(out, (lo + t, i, start, end, sid, len(s), bitmap(s)), strict=True):
+                        column.append(value)
+                at = pa.array(out[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:6]), pa.array(out[6], pa.binary())],
-                    ["id", "paragraph", "start", "end", "sid", "size", "bits"],
+                    [b.column(0).take(at), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:6]), b.column(2).take(at), pa.array(out[6], pa.binary())],
+                    ["id", "paragraph", "start", "end", "sid", "size", "th", "bits"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(find, f"id {kind}, paragraph int, start long, end long, sid long, size long, bits binary")
+    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return picked.mapInArrow(find, f"id {kind}, paragraph int, start long, end long, sid long, size long, th long, bits binary")
 
 
-def _distinct_paragraphs(texts, min_words: int, hashes: WordHashes, seen: set[int], k: int):
-    for t in texts:
-        for _, _, _, words in _lines(t or b"", min_words):
-            h = hashes.of(words)
-            if (sid := set_id(h)) not in seen:
-                seen.add(sid)
-                yield sid, shingles(h, k)
+def _new_paragraphs(texts: list[bytes | None], min_words: int, seen: set[int], k: int) -> list[tuple[int, np.ndarray]]:
+    found = []
+    for *_, sid, s in _paragraphs(texts, min_words, k):
+        if sid not in seen:
+            seen.add(sid)
+            found.append((sid, s))
+    return found
 
 
 def postings(docs: DataFrame, min_words: int, bands: int, k: int, text_col: str) -> DataFrame:
     """(key, id: number of the paragraph's words, size) for every band, once for equal paragraphs of a partition."""
 
     def post(batches):
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for b in batches:
             texts = utf8(b.column(0))
             for lo, hi in slices(texts):
-                found = list(_distinct_paragraphs(texts[lo:hi], min_words, hashes, seen, k))
+                found = _new_paragraphs(texts[lo:hi], min_words, seen, k)
                 if found:
                     keys = band_keys(min_hashes([s for _, s in found], bands * ROWS))
                     ids, sizes = np.array([i for i, _ in found]), np.array([len(s) for _, s in found], np.int32)
@@ -124,32 +128,36 @@ def postings(docs: DataFrame, min_words: int, bands: int, k: int, text_col: str)
 
 
 def members(docs: DataFrame, wanted: DataFrame, min_words: int, k: int, text_col: str) -> DataFrame:
-    """(id, members) of the wanted paragraphs, made again from the texts."""
-    passes = id_filter(wanted, "id")
+    """(id, members) of the wanted (id, th) paragraphs, made again from texts of the hash th."""
+    texts_pass, ids_pass = id_filter(wanted, "th"), id_filter(wanted, "id")
 
     def make(batches):
-        ok = passes() if passes else None
-        hashes, seen = WordHashes(), set()
+        text_ok, id_ok, seen = texts_pass() if texts_pass else None, ids_pass() if ids_pass else None, set()
         for b in batches:
+            if text_ok is not None:
+                b = b.filter(pa.array(text_ok(b.column(1).to_numpy(zero_copy_only=False))))
             texts = utf8(b.column(0))
             for lo, hi in slices(texts):
-                found = list(_distinct_paragraphs(texts[lo:hi], min_words, hashes, seen, k))
-                keep = ok(np.array([i for i, _ in found], np.int64)) if ok and found else np.ones(len(found), bool)
-                found = [f for f, x in zip(found, keep, strict=True) if x]
+                found = _new_paragraphs(texts[lo:hi], min_words, seen, k)
+                if id_ok is not None and found:
+                    keep = id_ok(np.array([i for i, _ in found], np.int64))
+                    found = [f for f, x in zip(found, keep, strict=True) if x]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "members"])
 
-    made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(make, "id long, members binary")
-    return made.dropDuplicates(["id"]).join(wanted.select("id"), "id", "left_semi")
+    text = F.col(text_col).cast("string")
+    made = docs.select(text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(make, "id long, members binary")
+    return made.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def repeats(docs: DataFrame, min_words: int = 30, percent: int = 80, recall: float = 0.999, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, paragraph, start, end, first_id, first_paragraph, n_occurrences, removed) of every paragraph that occurs
     more than once; a cluster is known by its first occurrence."""
     found = cut(paragraphs(docs, min_words, k, id_col, text_col), "paragraphs")
-    features = found.groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    features = found.groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("th").alias("th"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        content = cut(members(docs, cut(ids_of(pairs), "ids"), min_words, k, text_col), "members")
+        wanted = cut(ids_of(pairs).join(features.select("id", "th"), "id"), "wanted")
+        content = cut(members(docs, wanted, min_words, k, text_col), "members")
         return verified(pairs, content, percent)
 
     roots = linked_components(postings(docs, min_words, bands_for(percent, recall), k, text_col), features, verify, percent)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from meridian.llm import _links, ngram_jaccard_join, substring_dedup
+from meridian.llm import _links, _shared, ngram_jaccard_join, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -122,7 +122,8 @@ def test_bitmaps_never_refuse_a_link():
         inter = len(np.intersect1d(a, b))
         if 100 * inter >= 80 * (len(a) + len(b) - inter):
             bits = [np.frombuffer(_links.bitmap(x), np.uint64)[None] for x in (a, b)]
-            assert _links.overlap_possible(*bits, np.array([len(a)]), np.array([len(b)]), 80).all()
+            words = min(x.shape[1] for x in bits)
+            assert _links.overlap_possible(*(_links.folded(x, words) for x in bits), np.array([len(a)]), np.array([len(b)]), 80).all()
 
 
 def brute_repeats(rows, min_words):
@@ -159,3 +160,14 @@ def test_substring_removal(spark):
 
 def test_bands():
     assert 1 - (1 - 0.8**4) ** substring_dedup.bands_for(80, 0.999) >= 0.999
+
+
+def test_word_hashes_do_not_depend_on_place_or_pieces(monkeypatch):
+    texts = [b"One two\tONE\n\x0bthree", None, b"", b" ", b"x" * 5000 + b" one " + b"X" * 5000, "é ü".encode()] * 3
+    hashes, starts, offsets, whole = _shared.hashed_words(texts)
+    words = whole.lower().split()
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words)) == len(set(zip(hashes.tolist(), words, strict=True)))
+    assert [whole[s : s + len(w)].lower() for s, w in zip(starts.tolist(), words, strict=True)] == words
+    monkeypatch.setattr(_shared, "HASH_BYTES", 64)
+    again = _shared.hashed_words(texts)
+    assert (again[0] == hashes).all() and (again[1] == starts).all() and (again[2] == offsets).all()
