@@ -31,6 +31,8 @@ from ._shared import cut
 BITMAP_BITS = 512
 #: Rows compared at a time with what a tile holds so far; bounds the memory of a comparison.
 TILE_ROWS = 512
+#: Rows of a tile in which every row is looked at for a partner, at most.
+SMALL_TILE = 24
 #: Pairs that a comparison holds before it hands them on.
 PAIR_BATCH = 50_000
 #: Pivots by chance are drawn in one tile of so many.
@@ -65,21 +67,43 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def tiles(postings: DataFrame, percent: int) -> DataFrame:
-    """(key, id, size, pivot) of keys with at least two ids; pivot is the smallest set of the row's band of sizes."""
+def partnered(of: np.ndarray, size: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of small groups (of: group numbers, rows in order of size) have another row in their group with which
+    the similarity can hold, if the group's key is the first that the two sets share: then the overlap is at most what is
+    left of either set from the key on."""
+    ok = np.zeros(len(of), bool)
+    for d in range(1, SMALL_TILE):
+        if d >= len(of):
+            break
+        same = of[d:] == of[:-d]
+        if not same.any():
+            break
+        most = np.minimum(left[d:], left[:-d])
+        fits = same & (100 * most >= percent * (size[d:] + size[:-d] - most))
+        ok[d:] |= fits
+        ok[:-d] |= fits
+    return ok
+
+
+def tiles(postings: DataFrame, percent: int, prune: bool = True) -> DataFrame:
+    """(key, id, size, pivot) of keys with at least two ids; pivot is the smallest set of the row's band of sizes.
+
+    Postings may have a column `left`: members from the key on, in the order in which keys are posted. Rows of small
+    tiles that no other row can be similar to are left out."""
     step = math.log(100 / percent)
 
     def group(batches):
         held = None  # the last row so far; whether its key goes on isn't known yet
         first_size, band, pivot, many = 0, -1, 0, False  # of the held row's key; many: it has had rows before
         for batch in batches:
-            key, ids, size = _columns(batch)
+            key, ids, packed = _columns(batch)
             if held is not None:
-                key, ids, size = (np.append(h, x) for h, x in zip(held, (key, ids, size), strict=True))
+                key, ids, packed = (np.append(h, x) for h, x in zip(held, (key, ids, packed), strict=True))
             if not len(key):
                 continue
             new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-            key, ids, size = key[new], ids[new], size[new]
+            key, ids, packed = key[new], ids[new], packed[new]
+            size, left = packed >> 32, packed & 0xFFFFFFFF
             starts = np.append(True, key[1:] != key[:-1])
             begin = np.flatnonzero(starts)
             of = np.cumsum(starts) - 1
@@ -99,15 +123,23 @@ def tiles(postings: DataFrame, percent: int) -> DataFrame:
                 alone[0] = False
             keep = ~alone
             keep[-1] = False
+            if prune and keep.any():
+                at = np.flatnonzero(keep)
+                members = np.bincount(of[at], minlength=int(of[-1]) + 1)
+                whole = (members <= SMALL_TILE) & (np.arange(len(members)) < of[-1])  # the last one may go on
+                whole[0] &= not carried
+                keep[at] = ~whole[of[at]] | partnered(of[at], size[at], left[at], percent)
             if keep.any():
                 yield _tile_batch(key[keep], ids[keep], size[keep], pivots[keep])
             many = bool(not starts[-1] or (carried and of[-1] == 0))
-            held = (key[-1:], ids[-1:], size[-1:])
+            held = (key[-1:], ids[-1:], packed[-1:])
             first_size, band, pivot = int(firsts[of[-1]]), int(bands[-1]), pivots[-1]
         if held is not None and many:
-            yield _tile_batch(*held, np.array([pivot], np.int64))
+            yield _tile_batch(held[0], held[1], held[2] >> 32, np.array([pivot], np.int64))
 
-    dealt = postings.select("key", "id", F.col("size").cast("int")).repartition("key").sortWithinPartitions("key", "size", "id")
+    left = F.col("left" if "left" in postings.columns else "size").cast("long")
+    packed = (F.shiftleft(F.col("size").cast("long"), 32) + left).alias("packed")  # in the order of sizes
+    dealt = postings.select("key", "id", packed).repartition("key").sortWithinPartitions("key", "packed", "id")
     return dealt.mapInArrow(group, "key long, id long, size int, pivot long")
 
 

@@ -97,7 +97,8 @@ def frequent_shingles(signed_rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(docs: DataFrame, frequent, percent: int, k: int, text_col: str) -> DataFrame:
-    """(key, id: number of the set, size) for the rarest shingles of each set, once for equal sets of a partition."""
+    """(key, id: number of the set, size, left: members from this one on in the order of keys) for the rarest shingles of
+    each set, once for equal sets of a partition."""
 
     def post(batches):
         known, classes = frequent.value
@@ -105,7 +106,7 @@ def postings(docs: DataFrame, frequent, percent: int, k: int, text_col: str) ->
         for b in batches:
             texts = utf8(b.column(0))
             for lo, hi in slices(texts):
-                keys, ids, sizes, counts = [], [], [], []
+                keys, left, ids, sizes, counts = [], [], [], [], []
                 for s in set_arrays(texts[lo:hi], k):
                     if not len(s) or (sid := set_id(s)) in seen:
                         continue
@@ -115,17 +116,18 @@ def postings(docs: DataFrame, frequent, percent: int, k: int, text_col: str) ->
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         order = order | np.where(known[at] == s, classes[at], np.uint64(0)) << np.uint64(58)
                     m = int(prefix_length(len(s), percent))
-                    keys.append(np.partition(order, m - 1)[:m])
+                    keys.append(np.sort(np.partition(order, m - 1)[:m]))
+                    left.append(len(s) - np.arange(m))
                     ids.append(sid)
                     sizes.append(len(s))
                     counts.append(m)
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(np.concatenate(keys)), pa.int64()), pa.array(np.repeat(ids, counts), pa.int64()), pa.array(np.repeat(sizes, counts), pa.int32())],
-                        ["key", "id", "size"],
+                        [pa.array(signed(np.concatenate(keys)), pa.int64()), pa.array(np.repeat(ids, counts), pa.int64()), pa.array(np.repeat(sizes, counts), pa.int32()), pa.array(np.concatenate(left), pa.int32())],
+                        ["key", "id", "size", "left"],
                     )
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(post, "key long, id long, size int")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(post, "key long, id long, size int, left int")
 
 
 def verified(pairs: DataFrame, content: DataFrame, percent: int) -> DataFrame:

@@ -90,7 +90,7 @@ def test_tiles_over_batches(spark, batch):
     rows += rows[:20]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = _links.tiles(spark.createDataFrame(rows, "key long, id long, size int"), 80).collect()
+        got = _links.tiles(spark.createDataFrame(rows, "key long, id long, size int"), 80, prune=False).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     groups = defaultdict(set)
@@ -106,6 +106,19 @@ def test_tiles_over_batches(spark, batch):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_pruned_rows_have_no_partner():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        of = np.sort(rng.integers(0, 6, 30))
+        size = rng.integers(5, 60, 30)
+        order = np.lexsort((size, of))
+        of, size = of[order], size[order]
+        left = np.maximum(1, size - rng.integers(0, 12, 30))
+        want = [any(x != y and of[x] == of[y] and 180 * min(left[x], left[y]) >= 80 * (size[x] + size[y]) for y in range(30)) for x in range(30)]
+        got = _links.partnered(of, size, left, 80)
+        assert all(g == w for g, w, n in zip(got, want, np.bincount(of)[of], strict=True) if n <= _links.SMALL_TILE)
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000 + i) for i in range(50)]
