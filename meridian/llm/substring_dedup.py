@@ -1,13 +1,17 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup: similar paragraphs by MinHash banding, and repeated runs of words wherever they stand.
 
 A paragraph is a line of at least min_words words. Paragraphs of equal words are one at once. The others are posted
 under bands of MinHash values over their five-word shingles, with as many bands as a recall at the similarity asks for
 (`bands_for`). Paragraphs that collide are verified by exact Jaccard similarity of their shingles, and verified links
 make clusters. Of each cluster the first occurrence, by (id, paragraph), stays; the others are removals.
 
+A passage is a run of at least WINDOW words that stands elsewhere word for word (A-Z counting as a-z, any white space
+between the words), in whatever lines. Every window of WINDOW words is known by the least hash among its runs of GRAM
+words, its anchor; equal windows have equal anchors, so only windows whose anchor occurs twice are counted (`passages`).
+
 Edge cases: null and empty texts and texts without a long enough line have no paragraphs and no rows; a paragraph that
 repeats within one document counts as an occurrence each time; repeated rows count as occurrences of their own; a null
-id comes first in order; other columns are ignored; an empty table gives no rows.
+id comes first in order; other columns are ignored; an empty table gives no rows. Occurrences of a window that overlap in one document are one.
 """
 
 from __future__ import annotations
@@ -16,15 +20,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._links import bitmap, linked_components
-from ._shared import cut, hashed_words, id_filter, mixed, set_id, shingle_sets, signed, slices, utf8
+from ._shared import _ODD, _shingled, cut, hashed_words, id_filter, mixed, set_id, shingle_sets, signed, slices, utf8
 from .ngram_jaccard_join import ids_of, verified
 
 #: MinHash values of a band.
 ROWS = 4
+#: Words of the shortest passage, and of the runs that lead to it.
+WINDOW, GRAM = 50, 26
 
 
 def bands_for(percent: int, recall: float, rows: int = ROWS) -> int:
@@ -170,6 +177,149 @@ def repeats(docs: DataFrame, min_words: int = 30, percent: int = 80, recall: flo
     )
 
 
+def _windows(texts: list[bytes | None]):
+    """Of all windows of some texts: text number, word number in the joined texts, hash, hash of the anchor; and the
+    joined texts, the words' starts in them and the texts' offsets."""
+    hashes, starts, offsets, whole = hashed_words(texts)
+    n = len(hashes) - WINDOW + 1
+    if n < 1:
+        empty = np.empty(0, np.uint64)
+        return empty.astype(np.int64), empty.astype(np.int64), empty, empty, whole, starts, offsets
+    grams = _shingled(hashes, GRAM)
+    anchor, width = grams, 1
+    while width < WINDOW - GRAM + 1:  # minima of ever wider stretches
+        step = min(width, WINDOW - GRAM + 1 - width)
+        anchor, width = np.minimum(anchor[:-step], anchor[step:]), width + step
+    text_of = np.searchsorted(offsets, starts, "right") - 1
+    at = np.flatnonzero(text_of[:n] == text_of[WINDOW - 1 :])
+    return text_of[at], at, mixed(grams[at] * _ODD[43] + grams[at + WINDOW - GRAM] * _ODD[44]), anchor[at], whole, starts, offsets
+
+
+def _apart(row: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which windows stay if those that overlap an equal one before them in their text are left out."""
+    keep = np.ones(len(at), bool)
+    order = np.lexsort((at, h, row))
+    same = (row[order[1:]] == row[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+    if (same & (at[order[1:]] - at[order[:-1]] < WINDOW)).any():
+        last = 0
+        for j, equal in zip(order.tolist(), [False, *same.tolist()], strict=True):
+            if equal and at[j] - last < WINDOW:
+                keep[j] = False
+            else:
+                last = int(at[j])
+    return keep
+
+
+def _anchors(docs: DataFrame, text_col: str) -> DataFrame:
+    """(id) of every anchor that leads to windows at two places or more."""
+
+    def post(batches):
+        for b in batches:
+            texts = utf8(b.column(0))
+            for lo, hi in slices(texts):
+                row, _, _, anchor, *_ = _windows(texts[lo:hi])
+                if len(anchor):
+                    # One place leads to so many neighbouring windows at most; a longer stretch holds the anchor again.
+                    lead = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
+                    n = -(-np.diff(np.append(lead, len(anchor))) // (WINDOW - GRAM + 1))
+                    found, of = np.unique(anchor[lead], return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(np.bincount(of, n).astype(np.int64))], ["id", "n"])
+
+    made = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(post, "id long, n long")
+    return made.groupBy("id").agg(F.sum("n").alias("n")).where("n > 1").select("id")
+
+
+def _candidates(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, row, id, at, place) of every window of those anchors (and maybe others): a number of the document's row, the
+    window's first word there and its line, and its start and end in code points, two numbers in one long each."""
+    passes, kind = id_filter(anchors, "id"), docs.schema[id_col].dataType.simpleString()
+
+    def find(batches):
+        ok, seen, task = passes() if passes else None, 0, TaskContext.get().partitionId() << 40
+        for b in batches:
+            texts = utf8(b.column(1))
+            for lo, hi in slices(texts):
+                row, at, h, anchor, whole, starts, offsets = _windows(texts[lo:hi])
+                if ok is not None and len(at):
+                    few, back = np.unique(anchor, return_inverse=True)
+                    keep = ok(signed(few))[back]
+                    row, at, h = row[keep], at[keep], h[keep]
+                keep = _apart(row, at, h)
+                row, at, h = row[keep], at[keep], h[keep]
+                if not len(at):
+                    continue
+                data = np.frombuffer(whole, np.uint8)
+                space = np.flatnonzero(np.isin(data, [9, 10, 11, 12, 13, 32]))
+                first, last = starts[at], starts[at + WINDOW - 1]
+                end = space[np.searchsorted(space, last)]
+                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                feeds = np.flatnonzero(data == 10)
+                base = offsets[row]
+                line = np.searchsorted(feeds, first) - np.searchsorted(feeds, base)
+                words = at - np.searchsorted(starts, base)
+                place = points[first] - points[base] << 32 | points[end] - points[base]
+                columns = [signed(h), task + seen + lo + row, words << 32 | line, place]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), b.column(0).take(pa.array(lo + row))], ["h", "row", "at", "place", "id"])
+            seen += b.num_rows
+
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(find, f"h long, row long, at long, place long, id {kind}")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of repeats() for every passage: a row for each stretch of neighbouring windows that are all first
+    occurrences, or that all occur first in one other place's document. first_paragraph is the line in which the first
+    of the windows begins there, n_occurrences that of the window that occurs most often."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    anchors = cut(_anchors(docs, text_col), "anchors")
+    same = Window.partitionBy("h").orderBy("id", "row", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = _candidates(docs, anchors, id_col, text_col).withColumns(
+        {"n": F.count(F.lit(1)).over(same), **{f"first_{c}": F.first(c).over(same) for c in ("id", "row", "at")}}
+    )
+    whole = found.where("n > 1").select("row", "at", "id", "place", "first_id", "first_row", "first_at", "n")
+    names = ["id", "paragraph", "start", "end", "first_id", "first_paragraph", "n_occurrences", "removed"]
+
+    def merge(batches):
+        held = None  # the last stretch so far, which may go on in the next batch
+        for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if not b.num_rows:
+                continue
+            row, at, place, of, first, n = (b.column(i).to_numpy() for i in (0, 1, 3, 5, 6, 7))
+            word, removed = at >> 32, (row != of) | (at != first)
+            new = np.append(True, (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (removed[1:] != removed[:-1]))
+            new[1:] |= word[1:] != word[:-1] + 1
+            lead = np.flatnonzero(new)
+            tail = np.append(lead[1:], len(row)) - 1
+            yield shown(b, lead[:-1], place[tail[:-1]], np.maximum.reduceat(n, lead)[:-1])
+            held = b.slice(int(lead[-1]))
+        if held is not None:
+            yield shown(held, np.zeros(1, np.int64), held.column(3).to_numpy()[-1:], held.column(7).to_numpy().max(keepdims=True))
+
+    def shown(b: pa.RecordBatch, lead: np.ndarray, end: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        b = b.take(pa.array(lead))
+        row, at, place, of, first = (b.column(i).to_numpy() for i in (0, 1, 3, 5, 6))
+        line = lambda x: pa.array((x & 0xFFFFFFFF).astype(np.int32))
+        removed = pa.array((row != of) | (at != first))
+        return pa.RecordBatch.from_arrays([b.column(2), line(at), pa.array(place >> 32), pa.array(end & 0xFFFFFFFF), b.column(4), line(first), pa.array(n), removed], names)
+
+    dealt = whole.repartition("row").sortWithinPartitions("row", "at")
+    made = dealt.mapInArrow(merge, f"id {kind}, paragraph int, start long, end long, first_id {kind}, first_paragraph int, n_occurrences long, removed boolean")
+    return made.withColumnRenamed("id", id_col)
+
+
+def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the removed places taken from their texts; found is what passages() or repeats() gave, or both. Only for
+    ids that are unique."""
+    gone = found.where("removed").groupBy(F.col(id_col).alias("_sd_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_sd_gone"))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_sd_id")), "left")
+    piece = f"substring(`{text_col}`, int(a.at) + 1, int(greatest(x.start - a.at, 0L)))"
+    step = f"named_struct('kept', concat(a.kept, {piece}), 'at', greatest(a.at, x.end))"
+    left = F.expr(f"aggregate(_sd_gone, named_struct('kept', '', 'at', 0L), (a, x) -> {step}, a -> concat(a.kept, substring(`{text_col}`, int(a.at) + 1)))")
+    return joined.withColumn(text_col, F.when(F.col("_sd_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+
+
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with removed paragraphs taken from their texts; found is what repeats() gave."""
     gone = found.where("removed").groupBy(F.col(id_col).alias("_sd_id")).agg(F.collect_set("paragraph").alias("_sd_gone"))

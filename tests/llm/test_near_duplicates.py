@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from meridian.llm import _links, _shared, ngram_jaccard_join, substring_dedup
+from meridian.llm import _links, _shared, ngram_jaccard_join, queries, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -171,6 +171,67 @@ def test_substring_removal(spark):
     assert sorted(map(tuple, left.collect())) == [(1, f"é a\n{line}\nb", 5), (2, "c", 6), (3, None, 7), (4, "", 8)]
 
 
+def brute_passages(rows, least=50):
+    """(id, start, end) of every word that stands in a repeated window, and whether an occurrence before it holds it."""
+    places, out = defaultdict(list), {}
+    for i, t in rows:
+        words = [(m.start(), m.end(), m[0].translate(LOWER)) for m in re.finditer("[^\x20\x09-\x0d]+", t or "")]
+        for k in range(len(words) - least + 1):
+            window = words[k : k + least]
+            found = places[tuple(w for *_, w in window)]
+            if not found or found[-1][0] != i or found[-1][1] + least <= k:
+                found.append((i, k, window))
+    for found in places.values():
+        if len(found) > 1:
+            for n, (i, _, window) in enumerate(found):
+                for s, e, _ in window:
+                    out[i, s, e] = out.get((i, s, e), False) or n > 0
+    return out
+
+
+def check_passages(docs):
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    want, texts = brute_passages(rows), dict(rows)
+    got, removed = set(), set()
+    for r in substring_dedup.passages(docs).collect():
+        part = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert part == part.strip() and r["n_occurrences"] > 1 and r["paragraph"] == texts[r["doc_id"]][: r["start"]].count("\n")
+        for m in re.finditer("[^\x20\x09-\x0d]+", part):
+            place = r["doc_id"], r["start"] + m.start(), r["start"] + m.end()
+            got.add(place)
+            if r["removed"]:
+                removed.add(place)
+    assert got == set(want) and removed == {p for p, again in want.items() if again}
+    return len(want)
+
+
+def test_passages_in_longer_lines_and_over_short_lines(spark):
+    word = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    shared, common = word("Éa", 60), word("c", 30)
+    texts = [
+        " ".join([*word("p", 300), *shared, *word("q", 300)]),
+        "x y\n" + "\n".join(" ".join(shared[i : i + 7]).upper() for i in range(0, 60, 7)),
+        " ".join([*word("r", 10), *shared[5:54], *word("s", 10)]),  # 49 words
+        " ".join([*word("t", 40), *common]), " ".join([*word("u", 40), *common, *shared[:50]]), "z " * 200, None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert check_passages(docs) > 60 * 2 + 50
+    left = dict(map(tuple, substring_dedup.without_passages(docs, substring_dedup.passages(docs)).collect()))
+    assert left[0] == texts[0] and left[1].split() == ["x", "y"] and left[2] == texts[2] and left[4].split() == [*word("u", 40), *common] and left[6] is None
+
+
+def test_passages_of_documents(documents):
+    assert check_passages(documents.where("text is not null").dropDuplicates(["doc_id"]))
+
+
+def test_query_has_passages(spark, tmp_path):
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, " ".join(f"{i}v{j}" for j in range(200)) + " " + shared) for i in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["removed"], rows[r["doc_id"]][1][r["start"] : r["end"]]) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(0, False, shared), (1, True, shared)]
+
+
 def test_bands():
     assert 1 - (1 - 0.8**4) ** substring_dedup.bands_for(80, 0.999) >= 0.999
 
