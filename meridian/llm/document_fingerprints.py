@@ -2,10 +2,13 @@
 
 Every paragraph (line) is hashed to a wide vector of 32-bit lanes, and a document's fingerprint is the sum of its
 paragraphs' vectors modulo 2**32. The order of paragraphs doesn't matter, and one is inserted or deleted by adding or
-subtracting its vector (`combined`). A vector has DENSE lanes that every paragraph fills, which decide equality, and
-sparse lanes of which each clause of the paragraph fills one, so that two fingerprints agree in the more lanes the more
-clauses the documents share: `likeness` is the share of equal lanes among those that either fills. Long documents fill
-all of the first sparse lanes; the second, coarse ones take one clause of COARSE_SHARE and are looked at for such documents.
+subtracting its vector (`combined`). A vector has DENSE lanes, which decide equality, one lane that counts the word
+windows of the paragraph, and sketch lanes: sums of Cauchy-distributed weights of these windows, so that the difference
+of two sketches tells how many windows differ, with their repetitions. `likeness` estimates from it the share of word
+windows that two documents have in common, as multisets; its standard error is about 0.06 for texts that share nothing
+and less for alike ones, but up to twice that where a few windows that repeat make up most of the difference. A
+word window is WORDS successive words of a line; a shorter line is one by itself, words of more than WORD_CHARS characters
+count as several, and lines without words have none.
 
 Edge cases: null texts count as empty, which is one empty paragraph; repeated rows give a row each; a null id sorts
 before all others; other columns are ignored; an empty table gives no rows; one document is its own successor.
@@ -13,11 +16,16 @@ before all others; other columns are ignored; an empty table gives no rows; one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dense, sparse and coarse lanes; one clause of COARSE_SHARE is in coarse lanes.
-DENSE, SPARSE, COARSE, COARSE_SHARE = 8, 128, 64, 16
+#: Dense lanes, groups of sketch lanes (a word window is in one group) and lanes of a group.
+DENSE, GROUPS, GROUP_LANES = 8, 4, 48
+WORDS, WORD_CHARS = 3, 16
+#: What a weight of 1 is in a sketch lane.
+UNIT = 256
 MASK = (1 << 32) - 1
 #: Documents of a bucket of neighbours in id order, about; a window puts each beside its successor.
 BUCKET_ROWS = 1024
@@ -27,17 +35,18 @@ MOST_BUCKETS = 4096
 def lanes(text: str) -> Column:
     """The fingerprint of a text column (or SQL expression) as an array of longs below 2**32."""
     paragraphs = f"transform(split({text}, '\\\\n'), p -> xxhash64(p))"
-    clauses = f"transform(split({text}, '(?<=[.,;:!?]) +|\\\\n'), s -> xxhash64(s, 1))"
+    words = f"transform(regexp_extract_all(p, '[^ \\\\t\\\\r]{{1,{WORD_CHARS}}}', 0), w -> xxhash64(w))"
+    following = ", ".join(f"w[i + {k}]" for k in range(1, WORDS))
+    windows = f"if(size(w) < {WORDS}, if(size(w) = 0, array(), array(xxhash64(w))), transform(slice(w, 1, greatest(size(w) - {WORDS - 1}, 0)), (x, i) -> xxhash64(x, {following})))"
+    sketched = f"flatten(transform(split({text}, '\\n'), p -> transform(array({words}), w -> {windows})[0]))"
     dense = f"transform(sequence(0, {DENSE - 1}), i -> aggregate(h.p, 0L, (a, x) -> (a + (xxhash64(x, i) & {MASK}L)) & {MASK}L))"
 
-    def sparse(hashes: str, lanes: int) -> str:
-        total = f"aggregate(filter({hashes}, x -> (x & {lanes - 1}L) = i), 0L, (a, x) -> (a + (shiftrightunsigned(x, 20) & {MASK}L)) & {MASK}L)"
-        return f"transform(sequence(0L, {lanes - 1}L), i -> {total})"
-
-    few = f"filter(h.s, x -> (shiftrightunsigned(x, 8) & {COARSE_SHARE - 1}L) = 0)"
-    coarse = f"transform(array({few}), few -> {sparse('few', COARSE)})[0]"
+    # tan of an angle that is drawn evenly is Cauchy-distributed.
+    weight = f"cast({UNIT} * tan(xxhash64(x, j) * {math.pi / 2**64!r}D) as bigint) & {MASK}L"
+    group = f"transform(sequence(0, {GROUP_LANES - 1}), j -> aggregate(g, 0L, (a, x) -> a + ({weight})) & {MASK}L)"
+    sketch = f"flatten(transform(sequence(0, {GROUPS - 1}), k -> transform(array(filter(h.s, x -> (x & {GROUPS - 1}L) = k)), g -> {group})[0]))"
     # The hashes are bound to one lambda variable, so that they are made once and not for every lane.
-    return F.expr(f"transform(array(named_struct('p', {paragraphs}, 's', {clauses})), h -> concat({dense}, {sparse('h.s', SPARSE)}, {coarse}))[0]")
+    return F.expr(f"transform(array(named_struct('p', {paragraphs}, 's', {sketched})), h -> concat({dense}, array(cast(size(h.s) as bigint)), {sketch}))[0]")
 
 
 def combined(a: str, b: str, sign: int = 1) -> Column:
@@ -50,17 +59,17 @@ def text_of(fingerprint: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1; 1 if the dense lanes are equal."""
-
-    def share(start: int, lanes: int) -> str:
-        return (
-            f"transform(array(filter(slice(arrays_zip({a}, {b}), {start + 1}, {lanes}), z -> z['{a}'] != 0 or z['{b}'] != 0)), "
-            f"f -> named_struct('filled', size(f) / {lanes}, 'equal', coalesce(size(filter(f, z -> z['{a}'] = z['{b}'])) / nullif(size(f), 0), 0D)))[0]"
-        )
-
-    levels = f"struct({share(DENSE, SPARSE)} as fine, {share(DENSE + SPARSE, COARSE)} as coarse)"
-    chosen = f"transform(array({levels}), l -> if(l.fine.filled > 0.75, l.coarse.equal, l.fine.equal))[0]"
-    return F.expr(f"case when slice({a}, 1, {DENSE}) = slice({b}, 1, {DENSE}) then 1D else {chosen} end")
+    """0 to 1: the estimated share of common word windows among all; 1 if the dense lanes are equal."""
+    apart = f"abs(((x - y + {3 << 31}L) & {MASK}L) - {1 << 31}L)"
+    differences = f"zip_with(slice({a}, {DENSE + 2}, {GROUPS * GROUP_LANES}), slice({b}, {DENSE + 2}, {GROUPS * GROUP_LANES}), (x, y) -> {apart})"
+    # The geometric mean of a group's differences, without its bias.
+    scale = math.cos(math.pi / 2 / GROUP_LANES) ** GROUP_LANES / UNIT
+    mean = f"{scale!r}D * exp(aggregate(g, 0D, (a, x) -> a + ln(greatest(x, 1L))) / {GROUP_LANES})"
+    groups = f"transform(sequence(0, {GROUPS - 1}), k -> slice(d, k * {GROUP_LANES} + 1, {GROUP_LANES}))"
+    differ = f"transform(array({differences}), d -> aggregate({groups}, 0D, (s, g) -> s + if(array_max(g) = 0, 0D, {mean})))[0]"
+    n = f"({a}[{DENSE}] + {b}[{DENSE}])"
+    share = f"transform(array({differ}), d -> coalesce(greatest(({n} - d) / nullif({n} + d, 0D), 0D), 0D))[0]"
+    return F.expr(f"case when slice({a}, 1, {DENSE}) = slice({b}, 1, {DENSE}) then 1D else {share} end")
 
 
 def _bucket(bounds: list[int], low: int = 0) -> str:

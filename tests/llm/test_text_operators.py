@@ -1,6 +1,7 @@
 """Operators on single texts against brute force, on sf0.001 and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -190,6 +191,34 @@ def test_fingerprint_is_homomorphic(spark):
     assert r["sum"] == r["ab"] and r["rest"] == r["a"]
 
 
+def word_windows(text):
+    found = Counter()
+    for line in text.split("\n"):
+        words = line.split()
+        found.update(tuple(words[i : i + 3]) for i in range(max(len(words) - 2, 1)) if words)
+    return found
+
+
+def test_fingerprint_likeness_is_the_overlap(spark):
+    rng = random.Random(5)
+    clauses = [" ".join(f"w{rng.randrange(300)}" for _ in range(4)) + "." for _ in range(28)]
+    words = lambda tag, n: " ".join(f"{tag}{rng.randrange(900)}" for _ in range(n))
+    texts = [" ".join(rng.choice(clauses) for _ in range(160)), words("a", 900), "\n".join(rng.choice(clauses) for _ in range(160)), words("b", 60), "one line of it\n" * 100, words("c", 5000)]
+    got = {r["doc_id"]: r for r in document_fingerprints.fingerprint_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    share = lambda a, b: (word_windows(a) & word_windows(b)).total() / (word_windows(a) | word_windows(b)).total()
+    for i, t in enumerate(texts):
+        after, q = texts[(i + 1) % len(texts)], len(t) // 4
+        assert got[i]["near_edited"] == pytest.approx(share(t, t[: len(t) - q] + after[:q]), abs=0.15)
+        assert got[i]["near_next"] == pytest.approx(share(t, after), abs=0.2)
+        assert got[i]["near_edited"] > got[i]["near_next"]
+
+
+def test_fingerprint_is_homomorphic_with_repeats(spark):
+    df = spark.createDataFrame([("a b c d. a b c d.\nx", "x\na b c d. a b c d.\nx", "x\nx\na b c d. a b c d.\nx\na b c d. a b c d.")], "a string, b string, ab string")
+    df = df.select(*(document_fingerprints.lanes(c).alias(c) for c in df.columns))
+    assert (r := df.select(document_fingerprints.combined("a", "b").alias("sum"), "ab").first())["sum"] == r["ab"]
+
+
 def brute_secrets(t):
     found = []
     for kind, pattern, group, least in (
