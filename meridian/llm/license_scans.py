@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD_TABLE, alnum_words, utf8
+from ._shared import WORD_TABLE, alnum_words, ship, utf8
 
 
 @dataclass(frozen=True)
@@ -31,22 +31,74 @@ class Template:
     base: bool = False
 
 
+# The wording of public licenses and of the notices that their texts recommend.
+_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the <<any 1 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software "
+) + _WARRANTY
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<optional>><<alt 1|a>><</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<optional>><<alt 2|b>><</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = "<<optional>><<alt 3|c>><</optional>> neither the name of <<any 1 12>> nor the names of <<alt its|their>> contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_BSD_END = (
+    "this software is provided by <<any 1 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<any 1 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC = (
+    "permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<any 1 8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall <<any 1 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<alt http|https>> www apache org licenses license 2 0 "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license"
+)
+_GNU = "redistribute it and or modify it under the terms of <<alt the gnu|version 2 of the gnu|version 3 of the gnu>> {} public license as published by the free software foundation <<optional>>either<</optional>> version {} of the license <<optional>>or at your option any later version<</optional>>"
+_GNU_SHORT = "licensed under the <<alt gnu {0} public license|gnu {1}|{1}>> <<optional>>as published by the free software foundation<</optional>> <<alt version {2}|v{2}>> <<optional>>or <<optional>>at your option<</optional>> any later version<</optional>>"
+_MPL = "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<alt http|https>> mozilla org mpl 2 0"
+_UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+    "for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+    "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity "
+    "of all present and future rights to this software under copyright law "
+) + _WARRANTY
+_CC = "licensed under <<optional>><<alt a|the>><</optional>> <<alt cc {}|creative commons {}>> <<alt 4 0|3 0|2 5|2 0>> <<optional>><<alt international|unported|generic>><</optional>> <<optional>>license<</optional>>"
+_CC_NAMES = {
+    "cc-by": "attribution", "cc-by-sa": "attribution sharealike", "cc-by-nd": "attribution noderivatives", "cc-by-nc": "attribution noncommercial",
+    "cc-by-nc-sa": "attribution noncommercial sharealike", "cc-by-nc-nd": "attribution noncommercial noderivatives",
+}
+_GNU_NAMES = (
+    ("gpl-2", "general", "gpl", "2"), ("gpl-3", "general", "gpl", "3"), ("lgpl-2.1", "lesser general", "lgpl", "2 1"),
+    ("lgpl-3", "lesser general", "lgpl", "3"), ("agpl-3", "affero general", "agpl", "3"),
+)
+
 TEMPLATES = (
     Template("mit", "under the mit license", True),
     Template("apache-2", "apache license version 2", True),
     Template("cc-by-nc", "cc by nc", True),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this <<alt software|font software|work>> and associated documentation <<optional>>files<</optional>> <<any 0 4>> to deal in the <<any 1 3>> without restriction"),
-    Template("apache-2", "licensed under the apache license <<optional>>version<</optional>> <<alt 2|2 0>> the license you may not use this file except in compliance with the license"),
-    Template("gpl-3", "<<optional>>this <<any 1 3>> is<</optional>> licensed under the <<alt gnu general public license|gnu gpl|gpl>> <<optional>>as published by the free software foundation<</optional>> <<alt version 3|v3>> <<optional>>or <<optional>>at your option<</optional>> any later version<</optional>>"),
-    Template("gpl-2", "licensed under the <<alt gnu general public license|gnu gpl|gpl>> <<optional>>as published by the free software foundation<</optional>> <<alt version 2|v2>> <<optional>>or <<optional>>at your option<</optional>> any later version<</optional>>"),
-    Template("lgpl-3", "licensed under the <<alt gnu lesser general public license|gnu lgpl|lgpl>> <<alt version 3|v3>>"),
-    Template("agpl-3", "licensed under the <<alt gnu affero general public license|gnu agpl|agpl>> <<alt version 3|v3>>"),
-    Template("mpl-2", "subject to the terms of the mozilla public license <<alt v|version>> 2 <<optional>>0<</optional>>"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("cc-by", "licensed under <<optional>>a<</optional>> <<alt cc by|creative commons attribution>> <<alt 4 0|3 0|2 0>> <<optional>>international<</optional>> <<optional>>license<</optional>>"),
-    Template("cc-by-sa", "licensed under <<optional>>a<</optional>> <<alt cc by sa|creative commons attribution sharealike>> <<optional>><<alt 4 0|3 0|2 0>><</optional>> <<optional>>international<</optional>> <<optional>>license<</optional>>"),
-    Template("cc-by-nc", "licensed under <<optional>>a<</optional>> <<alt cc by nc|creative commons attribution noncommercial>> <<optional>><<alt 4 0|3 0|2 0>><</optional>> <<optional>>international<</optional>> <<optional>>license<</optional>>"),
-)
+    Template("mit", _MIT),
+    Template("bsd-2", _BSD + _BSD_END),
+    Template("bsd-3", _BSD + _BSD_NAMES + _BSD_END),
+    Template("isc", _ISC),
+    Template("apache-2", _APACHE),
+    Template("mpl-2", _MPL),
+    Template("unlicense", _UNLICENSE),
+    *(Template(label, _GNU.format(name, version)) for label, name, _, version in _GNU_NAMES),
+    *(Template(label, _GNU_SHORT.format(name, short, version)) for label, name, short, version in _GNU_NAMES),
+    *(Template(label, _CC.format(label[3:].replace("-", " "), name)) for label, name in _CC_NAMES.items()),
+    Template("cc0", "licensed under <<optional>><<alt a|the>><</optional>> <<alt cc0|creative commons cc0|creative commons zero>> <<alt 1 0|v1 0>> <<optional>>universal<</optional>>"),
+)
 
 
 class TokenAutomaton:
@@ -145,6 +197,7 @@ MATCHES = "n_words long, matches array<struct<label:string,base:boolean,first:lo
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, matches) for every row of docs; matches as word numbers, end exclusive."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def look(batches):
@@ -171,7 +224,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
 
 def digest(scanned: DataFrame) -> DataFrame:
     """Labels and places of scan(). The score is n / (n + 4) for the n words of the longest accepted stretch: 0 without
-    one, near 1 for a whole license."""
+    one, 0.4 to 0.9 for a notice, over 0.95 for a whole license."""
     base = "filter(matches, m -> m.base)"
     longest = "coalesce(array_max(transform(matches, m -> m.end - m.first)), 0)"
     return scanned.withColumns(
