@@ -4,9 +4,9 @@ A window is `width` consecutive words of an item; an item of fewer words (but no
 keys of one automaton, each between spaces; a text is normalised and scanned once. Hits are word numbers, and the
 offsets of those words in the original text are found again where they are asked for.
 
-The automaton is broadcast, so the number and bytes of its windows are checked first. Past MAX_WINDOWS or
-MAX_WINDOW_BYTES the windows are joined instead: texts give hashed windows, an equi-join on the hash finds candidates,
-and the words are compared.
+An automaton takes some 45 bytes for each byte of its windows, so at most about AUTOMATON_BYTES of windows go into one.
+Where all windows are more, they are dealt by a hash into several automata, and the texts are scanned once with each, in
+one pass after the other; a worker holds one automaton at a time and builds it once.
 
 Edge cases: null and empty texts have no words and no hits; an item of null or no words has no window; an item whose id
 is null marks words but isn't listed; repeated items count once, repeated rows give a row each; a null id stays null;
@@ -15,7 +15,8 @@ columns other than the two named are carried only by `clean`; empty tables give
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import WORD_TABLE, alnum_words, cut, slices, utf8
+from ._shared import WORD_TABLE, alnum_words, cut, ship, utf8
 
-#: What may be broadcast as one automaton: windows, and their bytes in all.
-MAX_WINDOWS = 400_000
-MAX_WINDOW_BYTES = 32_000_000
+#: Bytes of the windows of one automaton, with the ids of their items, about.
+AUTOMATON_BYTES = 4_000_000
 
 
 def item_windows(items: DataFrame, width: int = 8, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -91,100 +91,92 @@ def word_spans(text: bytes, numbers: np.ndarray) -> list[tuple[int, int]]:
 
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+_built: dict[str, tuple] = {}
+
+
+def _held(key: str, windows) -> tuple:
+    """A worker's automaton and the windows' items; the one of another key goes first."""
+    if key not in _built:
+        _built.clear()
+        listed = windows.value
+        _built[key] = automaton(listed), [items for _, items in listed]
+    return _built[key]
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = 8, keep: list[str] | None = None, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", prefix: str = "") -> DataFrame:
     """The keep columns (doc_id, if none are named) and n_words, n_hit, items, spans for every row of docs: sorted ids
     of items with occurring windows, and the hit stretches as offsets in the original text. The prefix goes before the
     names of the new columns."""
+    spark = docs.sparkSession
+    ship(spark)
     keep = keep or ["doc_id"]
     windows = cut(item_windows(items, width, item_id, item_text), "windows")
-    n, size = windows.agg(F.countDistinct("window"), F.coalesce(F.sum(F.length("window")), F.lit(0))).first()
-    if n > MAX_WINDOWS or size > MAX_WINDOW_BYTES:
-        return _find_joined(docs, windows, keep, text_col, prefix)
-    by_window: dict[bytes, list[str]] = {}
-    for w, item in windows.toLocalIterator():
-        by_window.setdefault(bytes(w), []).extend([item] if item is not None else [])
-    sent = docs.sparkSession.sparkContext.broadcast(sorted(by_window.items()))
-    schema = _result_schema(docs, keep, prefix)
-
-    def look(batches):
-        listed = sent.value
-        built = automaton(listed)
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for t in utf8(b.column(len(keep))):
-                words, hit, which = scan(built, t or b"")
-                found = sorted({x for i in which for x in listed[i][1]})
-                for column, value in zip(out, (words, len(hit), found, [{"start": s, "end": e} for s, e in word_spans(t or b"", hit)]), strict=True):
-                    column.append(value)
-            yield _batch(b.columns[: len(keep)], out, schema)
-
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("_bd_text")).mapInArrow(look, schema)
-
-
-def _result_schema(docs: DataFrame, keep: list[str], prefix: str) -> StructType:
-    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
+    size = windows.agg(F.sum(F.length("window") + F.coalesce(F.length("item"), F.lit(0)))).first()[0] or 0
+    shards = max(1, -(-size // AUTOMATON_BYTES))
+    dealt = windows.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)))
+
+    def scanner(shard: int):
+        by_window: dict[bytes, list[str]] = {}
+        for w, item in dealt.where(F.col("shard") == shard).select("window", "item").toLocalIterator():
+            by_window.setdefault(bytes(w), []).extend([item] if item is not None else [])
+        sent, key = spark.sparkContext.broadcast(sorted(by_window.items())), uuid.uuid4().hex
+
+        def hits(texts):
+            built, of = _held(key, sent)
+            for t in texts:
+                n, hit, which = scan(built, t or b"")
+                yield n, hit, sorted({x for i in which for x in of[i]})
+
+        return hits
+
+    picked, text = [F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_bd_text")
+    schema = docs.select(*picked).schema
     for f in StructType.fromDDL(RESULT):
         schema = schema.add(prefix + f.name, f.dataType)
-    return schema
 
+    def result(kept, texts, found) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for t, (n, hit, of) in zip(texts, found, strict=True):
+            for column, value in zip(out, (n, len(hit), of, [{"start": s, "end": e} for s, e in word_spans(t or b"", hit)]), strict=True):
+                column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+        return pa.RecordBatch.from_arrays([*kept, *map(pa.array, out, kinds)], schema.names)
 
-def _batch(kept: list[pa.Array], out: list[list], schema: StructType) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    return pa.RecordBatch.from_arrays([*kept, *map(pa.array, out, kinds)], schema.names)
+    if shards == 1:
+        hits = scanner(0)
 
+        def look(batches):
+            for b in batches:
+                texts = utf8(b.column(len(keep)))
+                yield result(b.columns[: len(keep)], texts, hits(texts))
 
-def _find_joined(docs: DataFrame, windows: DataFrame, keep: list[str], text_col: str, prefix: str) -> DataFrame:
-    """The same result where the windows are too many to broadcast: an equi-join on a hash of the window."""
-    lengths = sorted(r[0] for r in windows.select((F.length(F.regexp_replace(F.decode("window", "ISO-8859-1"), "[^ ]", "")) + 1).alias("k")).distinct().collect())
-    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_kept")
-    rows = cut(docs.select(F.expr("uuid()").alias("_row"), kept, F.col(text_col).cast("string").alias("_text")), "decontaminate")
-    schema = _result_schema(docs, keep, prefix)
+        return docs.select(*picked, text).mapInArrow(look, schema)
 
-    def hashes(batches):
-        for b in batches:
-            keys, texts = b.column(0), utf8(b.column(1))
-            for lo, hi in slices(texts):
-                at, place, size, key = [], [], [], []
-                for r in range(lo, hi):
-                    words = alnum_words(texts[r] or b"")
-                    for k in lengths:
-                        for i in range(len(words) - k + 1):
-                            at.append(r)
-                            place.append(i)
-                            size.append(k)
-                            key.append(hashlib.blake2b(b" ".join(words[i : i + k]), digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.binary())], ["_row", "place", "k", "key"])
-
-    def keyed(batches):
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("_bd_row"), F.struct(*picked).alias("_bd_kept"), text), "decontaminate")
+    parts = [cut(_hits_of(rows, scanner(shard)), "hits") for shard in range(shards)]
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy(F.col("row").alias("_bd_row"))
+    every = every.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_bd_items"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("_bd_hit"))
+
+    def merge(batches):
         for b in batches:
-            key = [hashlib.blake2b(w, digest_size=16).digest() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), b.column(1)], ["key", "item"])
+            texts, of, hit = utf8(b.column(len(keep))), b.column(len(keep) + 1).to_pylist(), b.column(len(keep) + 2).to_pylist()
+            found = ((len(alnum_words(t or b"")), np.array(h or [], np.int64), o or []) for t, o, h in zip(texts, of, hit, strict=True))
+            yield result(b.columns[: len(keep)], texts, found)
 
-    hits = rows.select("_row", "_text").mapInArrow(hashes, "_row string, place long, k long, key binary").join(
-        windows.mapInArrow(keyed, "key binary, item string"), "key"
-    )
-    found = hits.groupBy("_row").agg(
-        F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct("place", "k")).alias("at")
-    )
+    return rows.join(every, "_bd_row", "left").select("_bd_kept.*", "_bd_text", "_bd_items", "_bd_hit").mapInArrow(merge, schema)
 
-    def merge(batches):
+
+def _hits_of(rows: DataFrame, hits) -> DataFrame:
+    """(row, hit: numbers of hit words, items) of the rows (_bd_row, _bd_text) with hits."""
+
+    def look(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for t, items, at in zip(utf8(b.column(len(keep))), *(b.column(len(keep) + i).to_pylist() for i in (1, 2)), strict=True):
-                n = len(alnum_words(t or b""))
-                edges = np.zeros(n + 1, np.int64)
-                for p in at or []:
-                    edges[p["place"]] += 1
-                    edges[p["place"] + p["k"]] -= 1
-                hit = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                for column, value in zip(out, (n, len(hit), items or [], [{"start": s, "end": e} for s, e in word_spans(t or b"", hit)]), strict=True):
-                    column.append(value)
-            yield _batch(b.columns[: len(keep)], out, schema)
-
-    whole = rows.join(found, "_row", "left").select("_kept.*", F.col("_text").alias("_bd_text"), F.col("items").alias("_bd_items"), F.col("at").alias("_bd_at"))
-    return whole.mapInArrow(merge, schema)
+            found = list(hits(utf8(b.column(1))))
+            some = [i for i, (_, hit, _) in enumerate(found) if len(hit)]
+            columns = [b.column(0).take(pa.array(some, pa.int64())), pa.array([found[i][1] for i in some], pa.list_(pa.int64())), pa.array([found[i][2] for i in some], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "hit", "items"])
+
+    return rows.select("_bd_row", "_bd_text").mapInArrow(look, "row long, hit array<long>, items array<string>")
 
 
 def contaminated(found: DataFrame, least_items: int = 2) -> DataFrame:
