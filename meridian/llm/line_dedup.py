@@ -90,4 +90,5 @@ with lines as (
   from marked group by doc_id
 )
 select doc_id, n_lines, n_removed, removed_lines, text from kept
+union all select doc_id, 0, 0, '', null from documents where text is null
 """

@@ -47,7 +47,8 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.without_boilerplate(table(spark, sf_dir, "documents").where("text is not null").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")), MIN_SITES)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    found = line_dedup.without_boilerplate(table(spark, sf_dir, "documents").withColumn("n_lines", lines), MIN_SITES)
     return found.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"), "text")
 
 
