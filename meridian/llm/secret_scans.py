@@ -1,13 +1,14 @@
 """Secret scans in DataFrame functions alone: fixed kinds by pattern, others by sliding-window entropy.
 
-Candidate strings are unbroken runs of at least WINDOW key characters that hold a letter and a digit. Each is put in the
-narrowest character class that holds all of it (hexadecimal, alphanumeric, base64), and the Shannon entropy of every
-window of WINDOW characters is kept up to date from the counts as one character enters and one leaves. A candidate is a
-secret where its highest window reaches its class's threshold and no allow-list pattern matches it.
+Candidate strings are unbroken runs of at least WINDOW key characters that hold a digit, or letters of both cases. The
+counts of each character and of each character class are kept up to date as one character enters the window of WINDOW
+characters and one leaves it; they give the window's Shannon entropy and its class, which is the narrowest that holds all
+of the window (so a prefix such as ghp_ doesn't hide the hexadecimal digits after it). A candidate is a secret where a
+window reaches its class's least entropy and no allow-list pattern matches the candidate. Candidates are scored wherever
+they stand, also beside or inside spans of the fixed kinds.
 
 Edge cases: null texts count as empty; repeated rows give a row each; a null id stays null; other columns are ignored;
-an empty table gives no rows. Positions are code points; spans of one kind never overlap; a candidate that overlaps a
-fixed kind's span isn't reported again.
+an empty table gives no rows. Positions are code points; spans of one kind never overlap, those of different kinds may.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}+", 0, 24, r"[0-9a-f]{24}"),
 }
 WINDOW = 20
-#: Character classes from the narrowest: pattern of the whole candidate, alphabet, least bits of a window.
-CLASSES = {
-    "hexadecimal": (r"^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.0),
-    "alphanumeric": (r"^[0-9A-Za-z]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.7),
-    "base64": (r"", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 3.9),
-}
+#: Key characters: the ten digits, the other hexadecimal digits, the other letters, the rest.
+ALPHABET = "0123456789" + "abcdefABCDEF" + "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ" + "+/_=-"
+DIGITS, HEXADECIMAL, LETTERS = 10, 22, 62
+#: Least bits of a window that is all hexadecimal, of letters alone, of letters and digits, or has other characters.
+LEAST = {"hexadecimal": 3.0, "letters": 4.0, "alphanumeric": 3.7, "base64": 3.9}
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Candidates that match any of these are no secrets: UUIDs, dates and times, placeholders, counting runs, paths and
 #: hyphenated or underscored words, version-like slugs.
@@ -56,22 +56,30 @@ def spans_of(text: str, pattern: str, group: int) -> str:
     return f"aggregate({zipped}, named_struct('at', 0L, 'out', {empty}), (a, z) -> {step}, a -> a.out)"
 
 
-def window_entropy(value: str, alphabet: str, window: int = WINDOW) -> str:
-    """SQL: the highest entropy in bits of the windows of a string, kept up by counts; 0 for a shorter string.
+def window_margin(value: str, window: int = WINDOW) -> str:
+    """SQL: struct (margin, entropy) of the window of a string whose entropy is furthest above its class's least one;
+    null for a shorter string.
 
     With c of each character, a window's entropy is log2(w) - sum(c * log2(c)) / w; one step changes two terms of that sum."""
     gain = lambda c: f"(({c} + 1) * log2({c} + 1) - if({c} > 0, {c} * log2(greatest({c}, 1)), 0D))"
     entering, leaving = "element_at(s.codes, i)", f"element_at(s.codes, i - {window})"
+    classes = lambda x, code, by: ", ".join(  # noqa: E731  digits, characters that are not hexadecimal, neither letters nor digits
+        f"'{name}', {x}.{name} {by} if({code} {test}, 1, 0)" for name, test in (("digits", f"<= {DIGITS}"), ("wide", f"> {HEXADECIMAL}"), ("odd", f"> {LETTERS}"))
+    )
     added = f"transform(a.n, (c, k) -> if(k = {entering} - 1, c + 1, c))"
-    first = f"named_struct('n', {added}, 'sum', a.sum + {gain(f'element_at(a.n, {entering})')}, 'most', a.most)"
+    first = f"named_struct('n', {added}, 'sum', a.sum + {gain(f'element_at(a.n, {entering})')}, {classes('a', entering, '+')}, 'best', a.best)"
     dropped = f"transform(b.n, (c, k) -> if(k = {leaving} - 1, c - 1, c))"
-    slid = f"if(i > {window}, named_struct('n', {dropped}, 'sum', b.sum - {gain(f'(element_at(b.n, {leaving}) - 1)')}, 'most', b.most), b)"
-    seen = f"named_struct('n', d.n, 'sum', d.sum, 'most', if(i >= {window}, greatest(d.most, log2({window}D) - d.sum / {window}), d.most))"
+    slid = f"if(i > {window}, named_struct('n', {dropped}, 'sum', b.sum - {gain(f'(element_at(b.n, {leaving}) - 1)')}, {classes('b', leaving, '-')}, 'best', b.best), b)"
+    least = f"case when d.odd > 0 then {LEAST['base64']}D when d.wide = 0 then {LEAST['hexadecimal']}D when d.digits = 0 then {LEAST['letters']}D else {LEAST['alphanumeric']}D end"
+    bits = f"log2({window}D) - d.sum / {window}"
+    best = f"if(i >= {window}, greatest(d.best, named_struct('margin', {bits} - {least}, 'entropy', {bits})), d.best)"
+    seen = f"named_struct('n', d.n, 'sum', d.sum, 'digits', d.digits, 'wide', d.wide, 'odd', d.odd, 'best', {best})"
     step = f"transform(transform(array({first}), b -> {slid}), d -> {seen})[0]"
-    start = f"named_struct('n', array_repeat(0, {len(alphabet)}), 'sum', 0D, 'most', 0D)"
-    run = f"aggregate(sequence(1, size(s.codes)), {start}, (a, i) -> {step}, a -> a.most)"
-    codes = f"transform(filter(split({value}, ''), x -> x != ''), x -> instr({_sql(alphabet)}, x))"
-    return f"transform(array(named_struct('codes', {codes})), s -> if(size(s.codes) < {window}, 0D, {run}))[0]"
+    none = "cast(null as struct<margin:double,entropy:double>)"
+    start = f"named_struct('n', array_repeat(0, {len(ALPHABET)}), 'sum', 0D, 'digits', 0, 'wide', 0, 'odd', 0, 'best', {none})"
+    run = f"aggregate(sequence(1, size(s.codes)), {start}, (a, i) -> {step}, a -> a.best)"
+    codes = f"transform(filter(split({value}, ''), x -> x != ''), x -> instr({_sql(ALPHABET)}, x))"
+    return f"transform(array(named_struct('codes', {codes})), s -> if(size(s.codes) < {window}, {none}, {run}))[0]"
 
 
 SPAN = "struct<start:long,kind:int,end:long,entropy:double>"
@@ -87,12 +95,11 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, id_col: str = "doc_id"
         found = f"transform(filter({spans_of('_text', pattern, group)}, m -> m.size >= {least}), m -> named_struct('start', m.start, 'kind', {k}, 'end', m.end, 'entropy', cast(null as double)))"
         fixed.append(f"if(_text rlike {_sql(needed)}, {found}, {none})")
     rows = rows.withColumn("_fixed", F.expr(f"concat({', '.join(fixed)})"))
-    likely = f"filter({spans_of('_text', CANDIDATE, 0)}, m -> m.value rlike '[0-9]' and m.value rlike '[A-Za-z]' and not ({' or '.join(f'm.value rlike {_sql(p)}' for p in allow) or 'false'}))"
+    mixed = "(m.value rlike '[0-9]' or m.value rlike '[a-z]' and m.value rlike '[A-Z]')"
+    likely = f"filter({spans_of('_text', CANDIDATE, 0)}, m -> {mixed} and not ({' or '.join(f'm.value rlike {_sql(p)}' for p in allow) or 'false'}))"
     rows = rows.withColumn("_likely", F.expr(f"if(_text rlike {_sql(CANDIDATE)}, {likely}, cast(array() as array<struct<start:long,end:long,size:int,value:string>>))"))
-    rows = rows.withColumn("_free", F.expr("filter(_likely, m -> not exists(_fixed, f -> f.start < m.end and m.start < f.end))"))
-    cases = " ".join(f"when m.value rlike {_sql(p)} then struct({window_entropy('m.value', a)} as h, {bits}D as least)" for p, a, bits in CLASSES.values())
-    rows = rows.withColumn("_scored", F.expr(f"transform(_free, m -> named_struct('m', m, 'e', case {cases} end))"))
-    secret = f"transform(filter(_scored, x -> x.e.h >= x.e.least), x -> named_struct('start', x.m.start, 'kind', {len(KINDS)}, 'end', x.m.end, 'entropy', x.e.h))"
+    rows = rows.withColumn("_scored", F.expr(f"transform(_likely, m -> named_struct('m', m, 'e', {window_margin('m.value')}))"))
+    secret = f"transform(filter(_scored, x -> x.e.margin >= 0), x -> named_struct('start', x.m.start, 'kind', {len(KINDS)}, 'end', x.m.end, 'entropy', x.e.entropy))"
     return rows.select(id_col, F.expr(f"array_sort(concat(_fixed, {secret}))").alias("spans"))
 
 
