@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import functools
 import hashlib
 import itertools
 import shutil
@@ -73,6 +72,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_of_equals(docs: DataFrame, many: DataFrame, id_col: str, hash_col: str, flag: str) -> DataFrame:
+    """docs with a flag that is true for one row of each (id, hash) of `many` (columns id, th), and for all rows of others.
+
+    Rows that stand in `many` are numbered in a written table, so that one is chosen by aggregation and stays chosen."""
+    same = docs[id_col].eqNullSafe(many["id"]) & (docs[hash_col] == many["th"])
+    again = cut(docs.join(many, same, "left_semi").withColumn("_again", F.monotonically_increasing_id()), "again")
+    least = again.groupBy(id_col, hash_col).agg(F.min("_again").alias("_again")).select("_again", F.lit(True).alias(flag))
+    marked = again.join(least, "_again", "left").drop("_again").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return docs.join(many, same, "left_anti").withColumn(flag, F.lit(True)).unionByName(marked)
+
+
 def _separators(keep: bytes) -> bytes:
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     return bytes(lower[c] if c >= 128 or lower[c] in keep else 32 for c in range(256))
@@ -117,71 +127,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-
 _ODD = [np.uint64(2 * int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=7).digest(), "little") + 1) for i in range(64)]
-#: Bytes whose words are hashed at once; about 45 bytes of memory for each. Longer texts go piece by piece.
+#: Bytes whose words are hashed at once; a piece goes on to the end of its last word.
 HASH_BYTES = 4_000_000
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[40])[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
-_RADIX = _ODD[41]
-_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
+#: Longer words are hashed one by one.
+BLOCK_WORD_BYTES = 64
+#: White space to a space, and A-Z to a-z.
+_WORDS = bytes(32 if c in b"\x09\x0a\x0b\x0c\x0d\x20" else c for c in LOWER_TABLE)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    ones = np.ones(n, np.uint64)
-    return tuple(np.multiply.accumulate(np.concatenate((ones[:1], ones[1:] * r))) for r in (_RADIX, _INVERSE))
-
-
-def _hashed(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of a buffer. A word's hash is a polynomial of its bytes' random values
-    modulo 2**64, A-Z counting as a-z, so all of a buffer's are differences of one running sum."""
-    powers, inverse = _powers(1 << max(20, int(len(buffer)).bit_length()))
-    inside = np.concatenate(([False], ~_SPACE[buffer], [False]))
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start offsets of the words between spaces. A word's state takes in eight bytes at a time and is mixed
+    after each, so words that differ are told apart but for the chance of 64 bits."""
+    inside = np.frombuffer(b" " + data + b" ", np.uint8) != 32
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    sums = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_VALUE[buffer] * powers[: len(buffer)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD[42]), starts
-
-
-def _hashed_long(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a text of any length, in pieces that end at white space; a longer word is summed block by block."""
-    hashes, places, at = [], [], 0
-    while at < len(text):
-        piece = text[at : at + HASH_BYTES]
-        if at + len(piece) < len(text):
-            end = len(piece.rstrip(_NO_SPACE))
-            if not end:  # a word that is longer than a piece
-                rest = min((x for x in (text.find(bytes([c]), at) for c in b"\x09\x0a\x0b\x0c\x0d\x20") if x >= 0), default=len(text))
-                total, power = 0, 1
-                for lo in range(at, rest, 1 << 20):
-                    block = np.frombuffer(text[lo : min(lo + (1 << 20), rest)], np.uint8)
-                    total += int((_VALUE[block] * _powers(1 << 21)[0][: len(block)]).sum()) * power
-                    power = power * pow(int(_RADIX), len(block), 1 << 64) % (1 << 64)
-                total = (total + (rest - at) * int(_ODD[42])) % (1 << 64)
-                hashes.append(mixed(np.array([total], np.uint64)))
-                places.append(np.array([at]))
-                at = rest
-                continue
-            piece = piece[:end]
-        h, s = _hashed(np.frombuffer(piece, np.uint8))
-        hashes.append(h)
-        places.append(s + at)
-        at += len(piece)
-    return np.concatenate(hashes), np.concatenate(places)
-
-
-_NO_SPACE = bytes(c for c in range(256) if not _SPACE[c])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    blocks = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    state = mixed(sizes.astype(np.uint64) * _ODD[40] + _ODD[41])
+    for i in np.flatnonzero(sizes > BLOCK_WORD_BYTES).tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
+    todo = np.flatnonzero(sizes <= BLOCK_WORD_BYTES)
+    at, left = starts[todo], sizes[todo]
+    while len(todo):
+        state[todo] = mixed((state[todo] ^ (blocks[at] & _FIRST_BYTES[np.minimum(left, 8)])) * _ODD[42])
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return state, starts
 
 
 def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, their offsets in the joined texts, the texts' offsets there
-    (one more than texts), and the texts joined by line feeds."""
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, A-Z counting as a-z, their offsets in the joined texts, the
+    texts' offsets there (one more than texts), and the texts joined by line feeds."""
     whole = b"\n".join(t or b"" for t in texts) + b"\n"
     offsets = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-    hashes, starts = _hashed(np.frombuffer(whole, np.uint8)) if len(whole) <= HASH_BYTES else _hashed_long(whole)
-    return hashes, starts, offsets, whole
+    data, hashes, places, at = whole.translate(_WORDS), [], [], 0
+    while at < len(data):
+        end = data.find(b" ", min(at + HASH_BYTES, len(data)) - 1) + 1
+        h, s = _hashed(data[at:end])
+        hashes.append(h)
+        places.append(s + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places), offsets, whole
 
 
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int = 5, only: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -235,15 +222,18 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-def id_filter(ids: DataFrame, column: str, most_bytes: int = 32_000_000):
-    """A broadcast Bloom filter of a column of longs, as a test over numpy arrays; None (all pass) past most_bytes.
+#: log2 of a Bloom filter's bits, at most (32 MiB).
+FILTER_BITS = 28
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A broadcast Bloom filter of a column of longs, as a test over numpy arrays.
 
-    It only spares work: whoever uses it joins exactly afterwards. Its size is checked before anything is sent.
+    It only spares work: whoever uses it joins exactly afterwards. Its size is bounded; with ever more ids than bits, ever
+    more of the others pass as well.
     """
     spark, n = ids.sparkSession, ids.count()
-    bits = 1 << max(16, (16 * max(n, 1)).bit_length())
-    if bits // 8 > most_bytes:
-        return None
+    bits = 1 << min(FILTER_BITS, max(16, (16 * max(n, 1)).bit_length()))
 
     def fill(batches):
         got = np.zeros(bits // 8, np.uint8)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._links import bitmap, linked_components
-from ._shared import cut, hashed_words, id_filter, jaccard_at_least, set_id, shingle_sets, signed, slices, utf8
+from ._shared import cut, first_of_equals, hashed_words, id_filter, jaccard_at_least, set_id, ship, shingle_sets, signed, slices, utf8
 
 #: Shingles are counted over so many at a time within a partition; those met fewer times there aren't reported.
 COUNT_BLOCK, COUNT_LEAST = 2_000_000, 2
@@ -148,10 +148,9 @@ def members(docs: DataFrame, wanted: DataFrame, k: int, text_col: str) -> DataFr
     passes = id_filter(wanted, "th")
 
     def make(batches):
-        ok, seen = passes() if passes else None, set()
+        ok, seen = passes(), set()
         for b in batches:
-            if ok is not None:
-                b = b.filter(pa.array(ok(b.column(1).to_numpy(zero_copy_only=False))))
+            b = b.filter(pa.array(ok(b.column(1).to_numpy(zero_copy_only=False))))
             texts = utf8(b.column(0))
             for lo, hi in slices(texts):
                 ids, rows = [], []
@@ -171,9 +170,10 @@ def ids_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs."""
+def classes(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th: hash of the text, size, root: number of the class, null without shingles) for every row of docs."""
     spark = docs.sparkSession
+    ship(spark)
     rows = cut(signatures(docs, k, id_col, text_col), "signatures")
     sent = spark.sparkContext.broadcast(frequent_shingles(rows))
     sets = rows.where("sid is not null")
@@ -185,7 +185,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         return verified(pairs, content, percent)
 
     found = linked_components(postings(docs, sent, percent, k, text_col), features, verify, percent)
-    rooted = sets.where("size > 0").select("id", "size", "sid").join(found.withColumnRenamed("id", "sid"), "sid", "left").select("id", "size", F.coalesce("root", "sid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    whole = rooted.join(least, "root").select("id", "size", "component_id").unionByName(sets.where("size = 0").select("id", "size", F.col("id").alias("component_id")))
+    rooted = sets.where("size > 0").select("id", "th", "size", "sid").join(found.withColumnRenamed("id", "sid"), "sid", "left")
+    return rooted.select("id", "th", "size", F.coalesce("root", "sid").alias("root")).unionByName(sets.where("size = 0").select("id", "th", "size", F.lit(None).cast("long").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs."""
+    rows = classes(docs, percent, k, id_col, text_col)
+    linked = rows.where("root is not null")
+    least = cut(linked.groupBy("root").agg(F.min("id").alias("component_id")), "least")  # so that Spark can split a large class
+    whole = linked.join(least, "root").select("id", "size", "component_id").unionByName(rows.where("root is null").select("id", "size", F.col("id").alias("component_id")))
     return whole.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class, that of the smallest id (nulls last; of one id, that of the smallest hash of the
+    text), and all rows without shingles. A row goes by its id and text, so another text of the same id isn't touched."""
+    rows = cut(classes(docs, percent, k, id_col, text_col), "classes")
+    texts = rows.where("root is not null").groupBy("id", "th").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("id").isNull(), "id", "th")
+    least = cut(texts.groupBy("root").agg(F.min(rank).alias("least")), "least")
+    gone = texts.join(least, "root").where(rank != F.col("least")).select("id", "th")
+    hashed = docs.withColumn("_nj_text", F.xxhash64(F.col(text_col).cast("string")))
+    kept = hashed.join(gone, hashed[id_col].eqNullSafe(gone["id"]) & (hashed["_nj_text"] == gone["th"]), "left_anti")
+    return first_of_equals(kept, texts.where("n > 1").select("id", "th"), id_col, "_nj_text", "_nj_first").where("_nj_first").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -139,14 +139,13 @@ def members(docs: DataFrame, wanted: DataFrame, min_words: int, k: int, text_col
     texts_pass, ids_pass = id_filter(wanted, "th"), id_filter(wanted, "id")
 
     def make(batches):
-        text_ok, id_ok, seen = texts_pass() if texts_pass else None, ids_pass() if ids_pass else None, set()
+        text_ok, id_ok, seen = texts_pass(), ids_pass(), set()
         for b in batches:
-            if text_ok is not None:
-                b = b.filter(pa.array(text_ok(b.column(1).to_numpy(zero_copy_only=False))))
+            b = b.filter(pa.array(text_ok(b.column(1).to_numpy(zero_copy_only=False))))
             texts = utf8(b.column(0))
             for lo, hi in slices(texts):
                 found = _new_paragraphs(texts[lo:hi], min_words, seen, k)
-                if id_ok is not None and found:
+                if found:
                     keep = id_ok(np.array([i for i, _ in found], np.int64))
                     found = [f for f, x in zip(found, keep, strict=True) if x]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "members"])
@@ -235,12 +234,12 @@ def _candidates(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str)
     passes, kind = id_filter(anchors, "id"), docs.schema[id_col].dataType.simpleString()
 
     def find(batches):
-        ok, seen, task = passes() if passes else None, 0, TaskContext.get().partitionId() << 40
+        ok, seen, task = passes(), 0, TaskContext.get().partitionId() << 40
         for b in batches:
             texts = utf8(b.column(1))
             for lo, hi in slices(texts):
                 row, at, h, anchor, whole, starts, offsets = _windows(texts[lo:hi])
-                if ok is not None and len(at):
+                if len(at):
                     few, back = np.unique(anchor, return_inverse=True)
                     keep = ok(signed(few))[back]
                     row, at, h = row[keep], at[keep], h[keep]
