@@ -80,6 +80,26 @@ def grouped(model: Model, catalog: Catalog, measures: list[str], names: Names, f
     return anchor.frame.groupBy(*by).agg(*values)
 
 
+def listing(model: Model, catalog: Catalog, names: Names, filters: tuple[Dimension, ...]) -> DataFrame:
+    """The distinct values of the dimensions in rows that pass the filters: on the table that reaches them all by the
+    fewest relations, the first of such tables in the model's order."""
+    wanted = [*(d for d, _ in names.dimensions), *filters]
+    lengths = {}
+    for table in model.tables:
+        places = model.places(table)
+        if all(d.id in places for d in wanted):
+            lengths[table] = sum(len(places[d.id].path) for d in wanted)
+    if not lengths:
+        raise MissingQueryDimensionError(f"no table can tell of all of {', '.join(d.id for d in wanted)}")
+    anchor = Anchor(model, catalog, min(lengths, key=lengths.get))
+    places = model.places(anchor.table)
+    column = lambda d: applied(anchor.dimension(places[d.id]), d.transforms)
+    by, conditions = [column(d).alias(n) for d, n in names.dimensions], [column(f) for f in filters]
+    anchor.filter_table()
+    anchor.where(conditions)
+    return anchor.frame.select(*by).distinct()
+
+
 def merged(frames: list[DataFrame], names: Names) -> DataFrame:
     """Drill-across: rows of equal dimensions side by side, nulls being equal, with one shuffle for any number of frames."""
     if len(frames) == 1:
@@ -99,6 +119,8 @@ def merged(frames: list[DataFrame], names: Names) -> DataFrame:
 def aggregated(model: Model, catalog: Catalog, measures: list[str], names: Names, filters: tuple[Dimension, ...]) -> DataFrame:
     """Every measure on its own table, by the dimensions, merged. Measures share an aggregation where they share the
     table and, for built-in time dimensions, the time."""
+    if not measures:
+        return listing(model, catalog, names, filters)
     timed = any(d.id in GENERIC_TIME for d in (*(d for d, _ in names.dimensions), *filters))
     groups: dict[tuple, list[str]] = {}
     for m in dict.fromkeys(measures):
@@ -107,6 +129,12 @@ def aggregated(model: Model, catalog: Catalog, measures: list[str], names: Names
     return merged([grouped(model, catalog, g, names, filters) for g in groups.values()], names)
 
 
+def shared(frame: DataFrame) -> DataFrame:
+    """The same rows behind a generator, through which Spark prunes no columns: branches that start here are equal below
+    it, so the shuffle there is run once and reused."""
+    return frame.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in frame.columns)))))
+
+
 def at_level(detail: DataFrame, coarse: DataFrame, on: list[str]) -> DataFrame:
     """detail with the columns of coarse beside each row: by the level's columns, nulls being equal; a level without
     columns is one row."""
@@ -139,5 +167,3 @@ def among(frame: DataFrame, tuples: DataFrame, on: list[str]) -> DataFrame:
         return frame
     right = tuples.select(*(F.col(f"`{c}`").alias(f"{c}#kept") for c in on)).distinct()
     return frame.join(right, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}#kept`")) for c in on], "left_semi")
-
-

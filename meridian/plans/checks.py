@@ -34,6 +34,8 @@ def check(model: Model, query: Query) -> None:
     from .compiler import LIMITING, SELECTED
 
     metrics = (*query.metrics, *query.limits)
+    if not query.metrics and not query.dimensions:
+        raise MissingQueryMetricError("a request needs a metric or a dimension")
     for m in metrics:
         if m.id not in model.metrics:
             raise MissingQueryMetricError(f"there is no metric {m.id}")

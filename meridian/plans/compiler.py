@@ -15,14 +15,15 @@ from ..errors import TransformChainError
 from ..functions.expressions import column_of
 from ..functions.transforms import type_after
 from ..model import GENERIC_TIME, Model
-from ..operators.aggregate import Names, aggregated, among, at_level, measure_name, top
+from ..operators.aggregate import Names, aggregated, among, at_level, measure_name, shared, top
 from ..sources.tables import Catalog
 from ..types import Type
 from .checks import check
 from .request import Dimension, Metric, Query, Transform
 
-#: Table transforms that can be selected, and those that limit.
-SELECTED, LIMITING = ("total", "percent", "sum"), ("top", "bottom")
+#: Table transforms over the rows that are left, all that can be selected, and those that limit.
+WINDOWED = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
+SELECTED, LIMITING = ("total", "percent", *WINDOWED), ("top", "bottom")
 
 
 def dimension_type(model: Model, d: Dimension) -> Type:
@@ -36,7 +37,8 @@ def dimension_type(model: Model, d: Dimension) -> Type:
 
 
 def metric_type(model: Model, m: Metric) -> Type:
-    return Type("float") if m.transforms and m.transforms[0].id == "percent" else model.metrics[m.id].type
+    made = {"percent": "float", "avg": "float", "count": "int"}.get(m.transforms[0].id) if m.transforms else None
+    return Type(made) if made else model.metrics[m.id].type
 
 
 def _distinct(dims) -> tuple[Dimension, ...]:
@@ -74,19 +76,21 @@ class Compiler:
             return [every, tuple(d for d in every if d not in of)]
         return [every, within]
 
-    def _total(self, base: DataFrame, metric: str, level: tuple[Dimension, ...]) -> DataFrame:
-        """(level's columns, value): a metric at a coarser level, under the same filters.
+    def _coarse(self, base: DataFrame, metric: str, level: tuple[Dimension, ...]) -> DataFrame:
+        """The level's columns and the metric's measures at a coarser level, under the same filters.
 
-        A measure whose groups' values add up is summed from the rows there are; any other is aggregated again."""
+        Measures of the rows there are whose groups' values add up are summed from these; others are aggregated again."""
         measures = self.model.measures_of(metric)
         functions = [self.model.total_function(m) for m in measures]
-        on = self._columns(level)
-        if all(functions):
-            parts = [getattr(F, f)(F.col(f"`{measure_name(m)}`")).alias(measure_name(m)) for m, f in zip(measures, functions, strict=True)]
-            coarse = base.groupBy(*(F.col(f"`{c}`") for c in on)).agg(*parts)
-        else:
-            coarse = aggregated(self.model, self.catalog, measures, self._names(level), self.query.filters)
-        return coarse.select(*(F.col(f"`{c}`") for c in on), self._value(metric).alias("value#"))
+        if not all(functions) or not {measure_name(m) for m in measures} <= set(base.columns):
+            return aggregated(self.model, self.catalog, measures, self._names(level), self.query.filters)
+        parts = [getattr(F, f)(F.col(f"`{measure_name(m)}`")).alias(measure_name(m)) for m, f in zip(measures, functions, strict=True)]
+        return base.groupBy(*(F.col(f"`{c}`") for c in self._columns(level))).agg(*parts)
+
+    def _total(self, base: DataFrame, metric: str, level: tuple[Dimension, ...]) -> DataFrame:
+        """(level's columns, value): a metric at a coarser level."""
+        on = [F.col(f"`{c}`") for c in self._columns(level)]
+        return self._coarse(base, metric, level).select(*on, self._value(metric).alias("value#"))
 
     # -- phases ----------------------------------------------------------------------------------------------------
 
@@ -101,6 +105,8 @@ class Compiler:
         wanted = [*query.metrics, *(m for m, _, _ in inline)]
         measures = list(dict.fromkeys(x for m in wanted for x in self.model.measures_of(m.id)))
         base = aggregated(self.model, self.catalog, measures, self.names, query.filters)
+        if self.names.columns and (len(limits) > 1 or apart or any(m.transforms for m in query.metrics)):
+            base = shared(base)
         whole, columns = base, {}
         totals: dict[tuple[str, tuple[Dimension, ...]], str] = {}
 
@@ -119,7 +125,7 @@ class Compiler:
             if len(m.transforms) > 1:
                 raise TransformChainError(f"{m.render()}: a metric takes one transform")
             t = m.transforms[0] if m.transforms else None
-            if t is None or t.id == "sum":
+            if t is None or t.id in WINDOWED:
                 columns[m.key] = self._value(m.id)
             elif t.id == "total":
                 columns[m.key] = at(m.id, self._level_of(t)[0])
@@ -127,19 +133,19 @@ class Compiler:
                 above, below = (at(m.id, level).cast("double") for level in self._level_of(t))
                 columns[m.key] = above / F.nullif(below, F.lit(0.0))
         named = {k: f"v#{i}" for i, k in enumerate(columns)}
-        whole = self._limited(whole, inline, apart)
+        whole = self._limited(base, whole, inline, apart)
         whole = whole.select(*(F.col(f"`{c}`") for c in self.names.columns), *(c.alias(named[k]) for k, c in columns.items()))
         sums = {}
         for m in query.metrics:
             value = F.col(f"`{named[m.key]}`")
-            if m.transforms and m.transforms[0].id == "sum":
+            if m.transforms and m.transforms[0].id in WINDOWED:
                 t = m.transforms[0]
-                over = self._columns((*t.of, *t.within))
+                over, value = self._columns((*t.of, *t.within)), WINDOWED[t.id](value)
                 if over:
-                    value = F.sum(value).over(Window.partitionBy(*(F.col(f"`{c}`") for c in over)))
+                    value = value.over(Window.partitionBy(*(F.col(f"`{c}`") for c in over)))
                 else:
-                    sums[m.key] = F.sum(value).alias(f"{named[m.key]}#sum")
-                    value = F.col(f"`{named[m.key]}#sum`")
+                    sums[m.key] = value.alias(f"{named[m.key]}#whole")
+                    value = F.col(f"`{named[m.key]}#whole`")
             columns[m.key] = value
         if sums:  # over all rows: one row joined back, as a window without partitions would be one task
             whole = whole.crossJoin(F.broadcast(whole.agg(*sums.values())))
@@ -148,7 +154,7 @@ class Compiler:
         result = whole.select(*out)
         return result.orderBy(*(F.col(f"`{d.name}`").asc_nulls_first() for d in query.dimensions)) if query.dimensions else result
 
-    def _limited(self, whole: DataFrame, inline: list, apart: list) -> DataFrame:
+    def _limited(self, base: DataFrame, whole: DataFrame, inline: list, apart: list) -> DataFrame:
         """Top-N filters, each computed from all rows; a row stays if it is in all of them."""
         every = self.names.columns
         if len(inline) == 1 and not apart:
@@ -156,9 +162,9 @@ class Compiler:
             return top(whole, self._value(m.id), int(t.args[0]), self._columns(by), self._columns(t.within), t.id == "top")
         kept = []
         for m, t, by in inline:
-            kept.append((top(whole, self._value(m.id), int(t.args[0]), self._columns(by), self._columns(t.within), t.id == "top"), every))
+            kept.append((top(base, self._value(m.id), int(t.args[0]), self._columns(by), self._columns(t.within), t.id == "top"), every))
         for m, t, by in apart:
-            coarse = aggregated(self.model, self.catalog, self.model.measures_of(m.id), self._names(by), self.query.filters)
+            coarse = self._coarse(base, m.id, by)
             kept.append((top(coarse, self._value(m.id), int(t.args[0]), self._columns(by), self._columns(t.within), t.id == "top"), self._columns(by)))
         return reduce(lambda frame, k: among(frame, *k), kept, whole)
 

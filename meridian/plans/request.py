@@ -121,14 +121,15 @@ def _compared(t: Tokens) -> Transform | None:
         negated = bool(t.take("not"))
         t.need("null")
         return Transform("isnotnull" if negated else "isnull")
+    negated = bool(t.take("not"))
     if t.take("in"):
         t.need("(")
         args = [t.constant()]
         while t.take(","):
             args.append(t.constant())
         t.need(")")
-        return Transform("isin", tuple(args))
-    return None
+        return Transform("isnotin" if negated else "isin", tuple(args))
+    return t.fail("expected in") if negated else None
 
 
 def _listed(t: Tokens, item):
@@ -164,7 +165,7 @@ def _named(item):
 def parse_query(text: str) -> Query:
     t = Tokens(text, QuerySyntaxError)
     t.need("select")
-    metrics = tuple(_listed(t, _named(metric)))
+    metrics = () if t.word() in ("where", "by", "group") and t.peek(1)[0] in ("name", "quoted") else tuple(_listed(t, _named(metric)))
     filters = tuple(_listed(t, dimension)) if t.take("where") else ()
     dims: tuple[Dimension, ...] = ()
     limits: tuple[Metric, ...] = ()
