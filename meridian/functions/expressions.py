@@ -16,9 +16,16 @@ Leaf = Callable[[Node], Column]
 
 
 def truncated(part: str, c: Column) -> Column:
+    """The start of the part that holds c. Times have no zone here: dates and fields are taken and put together again, as
+    date_trunc would go through the session's zone and its clock changes."""
     if part not in GRAINS:
         raise UnknownFunctionError(f"no part of time {part!r}")
-    return F.date_trunc(part, c).cast("timestamp_ntz")
+    c = c.cast("timestamp_ntz")
+    day = c.cast("date")
+    if part in ("year", "quarter", "month", "week"):
+        return F.trunc(day, part).cast("timestamp_ntz")
+    fields = [F.hour(c), F.minute(c), F.floor(F.second(c))][: ("day", "hour", "minute", "second").index(part)]
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), *fields) if fields else day.cast("timestamp_ntz")
 
 
 _PARTS = {
@@ -36,6 +43,7 @@ def part_of(part: str, c: Column) -> Column:
 
 def boundaries(part: str, a: Column, b: Column) -> Column:
     """How many boundaries of a part lie between a and b; negative if b comes first."""
+    a, b = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
     months = lambda c: F.year(c).cast("long") * 12 + F.month(c)
     days = lambda x, y: F.datediff(y, x).cast("long")
     if part == "year":
@@ -46,11 +54,12 @@ def boundaries(part: str, a: Column, b: Column) -> Column:
         return months(b) - months(a)
     if part == "week":
         return F.floor(days(truncated("week", a), truncated("week", b)) / 7)
-    if part == "day":
-        return days(a, b)
-    if part in ("hour", "minute", "second"):
-        seconds = lambda c: F.date_trunc(part, c).cast("timestamp").cast("long")
-        return F.floor((seconds(b) - seconds(a)) / {"hour": 3600, "minute": 60, "second": 1}[part])
+    count = days(a, b)
+    for name, field, each in (("day", None, 1), ("hour", F.hour, 24), ("minute", F.minute, 60), ("second", F.second, 60)):
+        if field is not None:
+            count = count * each + field(b) - field(a)
+        if part == name:
+            return count.cast("long")
     raise UnknownFunctionError(f"no part of time {part!r}")
 
 
@@ -67,10 +76,20 @@ def _quotient(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _floor_quotient(a: Column, b: Column) -> Column:
+    """Exact for two whole numbers; Spark keeps the one case that the types ask for."""
+    x, y = a.cast("long"), F.nullif(b.cast("long"), F.lit(0))
+    down = ((x % y != 0) & ((x < 0) != (y < 0))).cast("long")
+    return F.when(F.typeof(a).isin(*_WHOLE) & F.typeof(b).isin(*_WHOLE), F.call_function("div", x, y) - down).otherwise(F.floor(_quotient(a, b)))
+
+
 _CALLS: dict[str, Callable[..., Column]] = {
     "or": lambda a, b: a | b, "and": lambda a, b: a & b, "not": lambda a: ~a, "isnull": lambda a: a.isNull(), "in": lambda a, *items: a.isin(*items),
     "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b,
-    "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": _quotient, "floordiv": lambda a, b: F.floor(_quotient(a, b)),
+    "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": _quotient, "floordiv": _floor_quotient,
     "mod": lambda a, b: a % F.nullif(b, F.lit(0)), "pow": F.pow, "neg": lambda a: -a,
     "abs": F.abs, "floor": F.floor, "ceil": F.ceil, "coalesce": F.coalesce, "tointeger": lambda a: a.cast("long"), "tofloat": lambda a: a.cast("double"),
     "todate": lambda a: a.cast("date").cast("timestamp_ntz"), "todatetime": lambda a: a.cast("timestamp_ntz"),

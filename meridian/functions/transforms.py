@@ -54,6 +54,7 @@ register(ScalarTransform("isnull", ANY, lambda c: c.isNull(), _fixed("bool")))
 register(ScalarTransform("isnotnull", ANY, lambda c: c.isNotNull(), _fixed("bool")))
 register(ScalarTransform("inrange", (*NUMERIC, "datetime"), lambda c, low, high: c.between(low, high), _fixed("bool"), (2, 2)))
 register(ScalarTransform("isin", ORDERED, lambda c, *items: c.isin(*items), _fixed("bool"), (1, None)))
+register(ScalarTransform("isnotin", ORDERED, lambda c, *items: ~c.isin(*items), _fixed("bool"), (1, None)))
 register(ScalarTransform("last", TIME, lambda c, n, part: boundaries(str(part).lower(), c, F.localtimestamp()) <= n, _fixed("bool"), (2, 2)))
 register(ScalarTransform("step", NUMERIC, lambda c, size: (F.floor(c / size) * size).cast("long"), _fixed("int"), (1, 1)))
 register(ScalarTransform("datepart", TIME, lambda c, part: part_of(str(part).lower(), c), _fixed("int"), (1, 1)))

@@ -48,11 +48,11 @@ def _time(grain: str, name: str) -> str:
       from (select {t('l_shipdate')} k, round(sum(amt), 4) v from f group by 1) a full join (select {t('o_orderdate')} k, round(sum(o_totalprice), 4) v from orders group by 1) b on a.k = b.k"""
 
 
-def _datediff(part: str) -> str:
-    a = "timestamp '2023-12-31 23:59:59'"
+def _datediff(part: str, column: str = "ts", start: str = "2023-12-31 23:59:59") -> str:
+    a = f"timestamp '{start}'"
     if part == "week":
-        return f"datediff('day', date_trunc('week', {a}), date_trunc('week', ts)) // 7"
-    return f"datediff('{part}', {a}, ts)"
+        return f"datediff('day', date_trunc('week', {a}), date_trunc('week', {column})) // 7"
+    return f"datediff('{part}', {a}, {column})"
 
 
 _BRAND = "select brand, sum(amt) v, count(distinct o_custkey) b from f group by 1"
@@ -96,6 +96,23 @@ REQUESTS: dict[str, tuple[str, str]] = {
     "q_date": ("select n_events by event_ts.date", "select date_trunc('day', ts)::timestamp as event_ts__date, count(*) as n_events from events group by 1"),
     **{f"q_datediff_{p}": (f"select n_events by {p}s_in", f"select cast({_datediff(p)} as bigint) as {p}s_in, count(*) as n_events from events group by 1") for p in ("year", "quarter", "month", "week", "day", "hour", "minute", "second")},
     "q_last": ("select n_events where event_ts.last(100000, 'day') by event_type", "select event_type, count(*) as n_events from events where datediff('day', ts, now()::timestamp) <= 100000 group by 1"),
+    **{
+        f"q_order_trunc_{g}": (f"select order_count by order_date.datetrunc('{g}') as t", f"select date_trunc('{g}', o_orderdate)::timestamp as t, count(*) as order_count from orders group by 1")
+        for g in ("year", "quarter", "month", "week")
+    },
+    **{
+        f"q_order_diff_{p}": (f"select order_count by order_{p}s_in", f"select cast({_datediff(p, 'o_orderdate', '1995-06-17 12:00:00')} as bigint) as order_{p}s_in, count(*) as order_count from orders group by 1")
+        for p in ("year", "quarter", "month", "week", "day")
+    },
+    "q_last_cut": ("select order_count where order_date.last(360, 'month') by order_priority", "select o_orderpriority as order_priority, count(*) as order_count from orders where datediff('month', o_orderdate, now()::timestamp) <= 360 group by 1"),
+    "q_not_in": ("select line_count where return_flag not in ('A', 'N') by line_status", _by("l_linestatus as line_status", "count(*) as line_count", "where l_returnflag not in ('A', 'N')")),
+    "q_listing": ("select by customer_region, segment", "select distinct r_name as customer_region, c_mktsegment as segment from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"),
+    "q_listing_where": ("select where return_flag = 'R' by brand, line_status", f"{_F} select distinct brand, l_linestatus as line_status from f where l_returnflag = 'R'"),
+    "q_windows": (
+        "select buyers.avg within (customer_region) as a, buyers.min within (customer_region) as lo, buyers.max of (segment) as hi, buyers.count as n by customer_region, segment",
+        f"{_F}, b as ({_RS}) select customer_region, segment, round(avg(b) over r, 4) as a, min(b) over r as lo, max(b) over (partition by segment) as hi, count(*) over () as n from b window r as (partition by customer_region)",
+    ),
+    "q_top_of_unselected": ("select buyers by customer_region, segment limit revenue.top(2) of (segment)", f"{_F}, b as ({_RS}) select customer_region, segment, b as buyers from b where segment in (select segment from f group by 1 order by sum(amt) desc, segment limit 2)"),
     "q_measure_filter": ("select revenue, returned_revenue, asian_revenue by segment", _by("segment", f"{_REV}, round(sum(amt) filter (where l_returnflag = 'R'), 4) as returned_revenue, round(sum(amt) filter (where customer_region in ('ASIA')), 4) as asian_revenue")),
     "q_only_filtered": ("select returned_revenue, asian_revenue by customer_region", _by("customer_region", "round(sum(amt) filter (where l_returnflag = 'R'), 4) as returned_revenue, round(sum(amt) filter (where customer_region in ('ASIA')), 4) as asian_revenue", "where l_returnflag = 'R' or customer_region in ('ASIA')")),
     "q_table_filter": ("select returned_total by brand", _by("brand", "round(sum(amt), 4) as returned_total", "where l_returnflag = 'R'")),
@@ -172,12 +189,16 @@ def q_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the compatibility matrix; the matrix itself needs no data."""
-    return project(spark, sf_dir).describe().select(F.sum(F.when(F.col("revenue") == "+", 1).otherwise(0)).alias("revenue_dimensions"))
+    """Part of the compatibility matrix; it needs no data."""
+    return project(spark, sf_dir).describe().where(F.col("dimension").isin("brand", "segment", "event_type", "nation_u", "Year", "lang", "order_priority")).select("dimension", "revenue", "n_customers", "n_events", "n_docs", "metric_of_metric", "revenue_per_part")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _requested(text) for name, (text, _) in REQUESTS.items()} | {f.__name__: f for f in (q_fluent, q_pivot, q_describe)}
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in REQUESTS.items()} | {
     "q_fluent": REQUESTS["q_filters_reach_totals"][1],
+    # Read off the model: what lies on a metric's table or on the tables that its foreign keys lead to.
+    "q_describe": """select * from (values ('order_priority', '+', null, null, null, '+', null), ('segment', '+', '+', '+', null, '+', null), ('brand', '+', null, null, null, '+', '+'),
+      ('event_type', null, null, '+', null, null, null), ('lang', null, null, null, '+', null, null), ('nation_u', null, '+', null, null, null, null), ('Year', '+', null, '+', null, '+', null)
+    ) as t(dimension, revenue, n_customers, n_events, n_docs, metric_of_metric, revenue_per_part)""",
     "q_pivot": f"{_F} select brand, {', '.join(f'''round(sum(amt) filter (where l_returnflag = '{x.upper()}'), 4) as {x}''' for x in 'anr')} from f group by 1",
 }

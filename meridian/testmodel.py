@@ -35,6 +35,7 @@ MODEL = {
                 "order_date": {"type": "date", "expr": "o_orderdate"}, "order_status": {"type": "str", "expr": "o_orderstatus"}, "order_priority": {"type": "str", "expr": "o_orderpriority"},
                 "order_value_bin": {"type": "int", "expr": "o_totalprice // 50000 * 50000"}, "order_revenue": {"type": "float", "expr": "$revenue"},
                 "order_lines": {"type": "int", "expr": "$line_count", "missing": 0},
+                **{f"order_{p}s_in": {"type": "int", "expr": f"datediff('{p}', todatetime('1995-06-17 12:00:00'), o_orderdate)"} for p in ("year", "quarter", "month", "week", "day")},
                 "cohort_month": {"type": "int", "expr": "datediff('month', :customer_first_order, :order_date)"},
                 "leap_year": {"type": "bool", "expr": "if(:order_year % 400 = 0, TRUE, :order_year % 100 = 0, FALSE, :order_year % 4 = 0)"},
                 "order_year": {"type": "int", "expr": "datepart('year', o_orderdate)"},

@@ -88,7 +88,7 @@ def test_request_parts():
     assert parse_metric("a.sum of (x)").transforms[0].of == (Dimension("x"),) and parse_dimension('"Odd one" as "z z"').name == "z z"
 
 
-@pytest.mark.parametrize("text", ["", "select", "a by b", "select a limit b.top(1)", "select a by", "select a where x = ", "select a by b limit", "select a b", "select a by x y", "select a.t(", "select a where x not in (1)"])
+@pytest.mark.parametrize("text", ["", "select", "a by b", "select a limit b.top(1)", "select a by", "select a where x = ", "select a by b limit", "select a b", "select a by x y", "select a.t(", "select a where x not (1)", "select a where x not in 1"])
 def test_bad_requests(text):
     with pytest.raises(QuerySyntaxError):
         parse_query(text)
