@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import copy
-from dataclasses import replace
+import time
+from dataclasses import dataclass, replace
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .formatting import Formatter, shown
 from .model import GENERIC_TIME, Model
 from .plans.compiler import compiled, dimension_type, metric_type
 from .plans.request import Dimension, Metric, Query, Transform, parse_dimension, parse_metric, parse_query
+from .shipping import ship
 from .sources.files import ModelFiles, load_profile, load_project, scaffold
 from .sources.tables import Catalog
 
@@ -92,9 +95,18 @@ def _metric(m) -> Metric:
     return m.item if isinstance(m, Request) else m if isinstance(m, Metric) else parse_metric(m)
 
 
+@dataclass(frozen=True)
+class Execution:
+    """A query that ran: its plans, and how long it took."""
+
+    plan: str
+    seconds: float
+
+
 class Analysis:
     def __init__(self, project: Project, query: Query):
         self.project, self.query = project, query
+        self.executed: list[Execution] = []
 
     def frame(self) -> DataFrame:
         """The lazy result."""
@@ -105,10 +117,15 @@ class Analysis:
         frame = self.frame()
         if not format:
             return frame
-        formatters = self.formatters()
-        return frame.sparkSession.createDataFrame(
-            [tuple(formatters[c].text(v) for c, v in row.asDict().items()) for row in frame.collect()], ", ".join(f"`{c}` string" for c in frame.columns)
-        )
+        ship(frame.sparkSession)
+        names = frame.columns
+        shown_as = [self.formatters()[c] for c in names]
+
+        def texts(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([f.text(v) for v in column.to_pylist()], pa.string()) for f, column in zip(shown_as, b.columns, strict=True)], names)
+
+        return frame.mapInArrow(texts, ", ".join(f"`{c}` string" for c in names))
 
     def formatters(self) -> dict[str, Formatter]:
         """How each column is shown."""
@@ -119,12 +136,32 @@ class Analysis:
             same = base is not None and (not d.transforms or kind.name == base.type.name and kind.name != "datetime")
             found[d.name] = Formatter(kind, base.format if same else None, model.locale, model.currency)
         for m in self.query.metrics:
-            percent = m.transforms and m.transforms[0].id == "percent"
-            found[m.name] = Formatter(metric_type(model, m), "percent" if percent else model.metrics[m.id].format, model.locale, model.currency)
+            transform = m.transforms[0].id if m.transforms else None
+            style = {"percent": "percent", "count": None}.get(transform, model.metrics[m.id].format)
+            found[m.name] = Formatter(metric_type(model, m), style, model.locale, model.currency)
         return found
 
     def toPandas(self, format: bool = False):  # noqa: N802  as Spark names it
-        return shown(self.frame().toPandas(), self.formatters()) if format else self.frame().toPandas()
+        """The result on the driver; what ran is noted in `executed`."""
+        frame, began = self.frame(), time.perf_counter()
+        got = frame.toPandas()
+        self.executed.append(Execution(frame._jdf.queryExecution().toString(), round(time.perf_counter() - began, 4)))
+        return shown(got, self.formatters()) if format else got
+
+    def graph(self) -> str:
+        """The operators of the optimized plan and what feeds them, in the DOT language."""
+        lines: list[str] = []
+
+        def walk(node) -> str:
+            name = f"n{len(lines)}"
+            lines.append(f'  {name} [label="{node.nodeName()}"];')
+            children = node.children()
+            for i in range(children.size()):
+                lines.append(f"  {walk(children.apply(i))} -> {name};")
+            return name
+
+        walk(self.frame()._jdf.queryExecution().optimizedPlan())
+        return "\n".join(["digraph analysis {", *lines, "}"])
 
     def explain(self, mode: str = "formatted") -> None:
         self.frame().explain(mode)
@@ -139,6 +176,7 @@ class Select(Analysis):
 
     def _more(self, **changes) -> Select:
         made = copy.copy(self)
+        made.executed = []
         made.query = replace(self.query, **{k: (*getattr(self.query, k), *v) for k, v in changes.items()})
         return made
 

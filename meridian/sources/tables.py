@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..errors import ModelError
+from ..shipping import ship
 
 Resolver = Callable[[SparkSession, dict], DataFrame]
 
@@ -37,7 +38,12 @@ def _jdbc(spark: SparkSession, source: dict) -> DataFrame:
 
 
 def _sqlite(spark: SparkSession, source: dict) -> DataFrame:
-    return _jdbc(spark, {**source, "url": f"jdbc:sqlite:{source['database']}"})
+    """A file of SQLite, read by Python workers."""
+    from .sqlite import SqliteSource
+
+    ship(spark)
+    spark.dataSource.register(SqliteSource)
+    return spark.read.format("sqlite_file").option("database", source["database"]).option("table", source["table"]).options(**(source.get("options") or {})).load()
 
 
 def _query(spark: SparkSession, source: dict) -> DataFrame:
@@ -53,7 +59,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str | None = None, default_schema: str | None = None, frames: dict[str, DataFrame] | None = None):
         self.spark, self.root, self.default_schema, self.frames = spark, root, default_schema, frames or {}
-        self._schemas: dict[str, StructType] = {}
+        self._schemas: dict[str, tuple[list, StructType]] = {}
 
     @classmethod
     def from_profile(cls, spark: SparkSession, kind: str, parameters: dict) -> Catalog:
@@ -83,7 +89,14 @@ class Catalog:
         return self.spark.table(f"{source['schema']}.{source['table']}" if source.get("schema") else source["table"])
 
     def _parquet(self, path: str) -> DataFrame:
-        """Footers are read for the schema once; the files are listed anew each time."""
-        if path not in self._schemas:
-            self._schemas[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(self._schemas[path]).parquet(path)
+        """Footers are read for the schema once, as long as the same files are there; the files are listed anew each time."""
+        files = _listed(self.spark, path)
+        if self._schemas.get(path, (None,))[0] != files:
+            self._schemas[path] = files, self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path][1]).parquet(path)
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of a path, or of what lies in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [(x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]

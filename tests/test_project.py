@@ -220,3 +220,66 @@ def test_windows_of_a_stream(spark, project, tmp_path):
     assert by == {(r[0], r[1]): r[2] for r in rows(project.ql("select n_events by event_type, segment").df())}
     with pytest.raises(e.QueryError):
         windowed(project.model, project.catalog, stream, "events", ["active_users"], "ts", "1 day", "1 day")
+
+
+def test_databases(spark, tmp_path):
+    """An SQLite file by the package's own reader, and a database by JDBC."""
+    import sqlite3
+
+    path = str(tmp_path / "sho?p.db")
+    with sqlite3.connect(path) as db:
+        db.execute("create table sales (id integer primary key, shop varchar(20), price numeric(10, 2), sold datetime, paid boolean, raw blob)")
+        db.executemany("insert into sales values (?, ?, ?, ?, ?, ?)", [(i, None if i == 4 else f"s{i % 3}", i / 4, "2024-01-31 10:11:12", i % 2, b"x") for i in range(1, 101)])
+        db.execute("create view cheap as select * from sales where price < 2")
+        db.execute("create table vacant (id integer)")
+    db.close()
+    catalog = Catalog(spark)
+    read = lambda t, **options: catalog.frame({"type": "sqlite", "database": path, "table": t, "options": options})
+    df = read("sales", partitions="7")
+    assert df.dtypes == [("id", "bigint"), ("shop", "string"), ("price", "double"), ("sold", "timestamp_ntz"), ("paid", "boolean"), ("raw", "binary")]
+    assert df.rdd.getNumPartitions() == 7 and df.count() == 100 and df.where("shop is null").count() == 1
+    assert rows(df.where("id = 5")) == [(5, "s2", 1.25, dt.datetime(2024, 1, 31, 10, 11, 12), True, b"x")]
+    assert read("cheap").count() == 7 and read("vacant").count() == 0
+    with pytest.raises(Exception, match="no table"):
+        read("missing").count()
+    url = "jdbc:derby:memory:shop;create=true"
+    df.select("id", "shop", "price").write.jdbc(url, "sales", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    model = {"tables": {"sales": {"source": {"type": "jdbc", "url": url, "table": "sales", "options": {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}}, "primary_key": "id",
+                                  "dimensions": {"shop": {"type": "str", "expr": "shop"}}, "measures": {"taken": {"expr": "sum(price)"}, "n": {"expr": "count()", "type": "int"}}}}}
+    by_jdbc = rows(Project(spark, model).ql("select taken, n by shop").df())
+    model["tables"]["sales"]["source"] = {"type": "sqlite", "database": path, "table": "sales"}
+    assert by_jdbc == rows(Project(spark, model).ql("select taken, n by shop").df()) and sum(r[2] for r in by_jdbc) == 100
+
+
+def test_an_overwritten_table_is_read_with_its_new_columns(spark, tmp_path):
+    catalog, path = Catalog(spark, str(tmp_path)), f"{tmp_path}/t.parquet"
+    spark.createDataFrame([(1,)], "a long").write.parquet(path)
+    assert catalog.frame("t").columns == ["a"]
+    spark.createDataFrame([(1, "x")], "a long, b string").write.mode("overwrite").parquet(path)
+    assert rows(catalog.frame("t")) == [(1, "x")]
+
+
+def test_listings(project):
+    want = {(r[0], r[1]) for r in rows(project.ql("select line_count by customer_region, segment").df())}
+    got = rows(project.select().by("customer_region", "segment").df())
+    assert want <= set(got) and len(got) == len(set(got)) and got == sorted(got)
+    assert {r[0] for r in rows(project.ql("select where return_flag not in ('A') by return_flag").df())} == {"N", "R"}
+    assert project.select().by("segment").query.render() == "select  by segment" and project.ql("select  by segment").query == project.select().by("segment").query
+    with pytest.raises(e.MissingQueryMetricError):
+        project.select().df()
+    with pytest.raises(e.MissingQueryDimensionError):
+        project.select().by("brand", "event_type").df()
+
+
+def test_what_ran_is_noted(project):
+    found = project.ql("select line_count by segment")
+    assert len(found.toPandas()) == 5 and len(found.executed) == 1
+    assert "Physical Plan" in found.executed[0].plan and found.executed[0].seconds > 0
+    graph = found.graph()
+    assert graph.startswith("digraph") and "Aggregate" in graph and graph.count("->") == graph.count("label") - 1
+
+
+def test_windows_over_what_is_left(project):
+    got = rows(project.ql("select buyers, buyers.avg as a, buyers.min as lo, buyers.max as hi, buyers.count as n, buyers.sum as s by segment limit buyers.top(3)").df())
+    values = [r[1] for r in got]
+    assert len(got) == 3 and {r[2:] for r in got} == {(sum(values) / 3, min(values), max(values), 3, sum(values))}
