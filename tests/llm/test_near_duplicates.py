@@ -76,6 +76,25 @@ def test_ngram_jaccard(docs):
     assert Counter(tuple(r) for r in got.collect()) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_one_row_of_each_class(spark):
+    rows = [(1, "a", 1), (5, "a", 2), (5, "b", 3), (7, "c", 4), (7, "c", 4), (None, "a", 5), (None, "a", 5), (8, None, 6), (8, None, 6), (None, "", 7), (None, "d", 8), (None, "d", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th long").repartition(3)
+    got = ngram_jaccard_join.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert left == Counter({(1, "a"): 1, (5, "b"): 1, (7, "c"): 1, (8, None): 2, (None, ""): 1, (None, "d"): 1})
+
+
+def test_words_that_polynomials_confuse(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word + "a"), (4, word.upper()), (5, "x " * 5 + word * 100), (6, "x " * 5 + other * 100)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6}
+
+
 def test_ngram_jaccard_with_frequent_shingles_last(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard_join, "COUNT_LEAST", 2)
     monkeypatch.setattr(ngram_jaccard_join, "FREQUENT_LEAST", 3)
