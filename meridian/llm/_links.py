@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, forget
 
 #: Least bits of a set's bitmap. A set has twice to four times its size, in powers of two, so that bitmaps never fill up.
 BITMAP_BITS = 512
@@ -250,7 +250,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct(), "edges")
+        old, edges = edges, cut(small.distinct(), "edges")
+        forget(old)
         now = sums(edges)
         if now == before:
             break
@@ -258,32 +259,43 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def linked_components(postings: DataFrame, features: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked_components(postings: DataFrame, features: DataFrame, verify: Callable[[DataFrame], tuple[DataFrame, list[DataFrame]]], percent: int) -> DataFrame:
     """(id, root) of all ids with a link. postings: key, id, size; features: id, size, bits of every id, once; verify
-    takes pairs (a, b) and returns those that are truly similar."""
+    takes pairs (a, b) and returns those that are truly similar, and tables that it has written for that."""
+
+    def checked(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+        similar, tables = verify(pairs)
+        made = cut(links.unionByName(similar) if links is not None else similar, "links")
+        forget(pairs, *tables, *([links] if links is not None else []))
+        return made
+
     grouped = cut(tiles(postings, percent), "tiles")
     stars = grouped.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = cut(verify(cut(promising(stars, features, percent), "pairs")), "links")
+    links = checked(cut(promising(stars, features, percent), "pairs"), None)
     found = cut(components(links), "components")
-    rest = cut(_several(grouped, found), "rest")
+    rest = _several(grouped, found)
     some = rest.where(F.pmod(F.xxhash64("key"), F.lit(CHANCE_SHARE)) == 0)
     drawn = some.groupBy("key", "pivot").agg(F.min(F.struct(F.xxhash64("key", "id"), F.col("id").alias("other"), F.col("root").alias("other_root"))).alias("p"))
     stars = some.join(drawn, ["key", "pivot"]).where("root != p.other_root").select(F.least("id", "p.other").alias("a"), F.greatest("id", "p.other").alias("b")).distinct()
     pairs = promising(stars, features, percent)
     for turn in ("chance", "best", "all"):
         if turn != "chance":
-            rest = cut(_several(rest, found), "rest")
+            rest = _several(rest, found)
             pairs = cross_pairs(rest.join(features.select("id", "bits"), "id"), percent, best=turn == "best")
         pairs = cut(pairs, "pairs")
         if not pairs.isEmpty():
-            links = cut(links.unionByName(verify(pairs)), "links")
+            links, old = checked(pairs, links), found
             found = cut(components(links), "components")
+            forget(old)
+    forget(rest, links)
     return found
 
 
 def _several(tiles: DataFrame, found: DataFrame) -> DataFrame:
-    """Tiles whose members lie in several components, with each member's root. Components only grow together, so a tile
-    that is left out needn't be looked at again."""
+    """Tiles whose members lie in several components, with each member's root; the written table takes the place of
+    `tiles`. Components only grow together, so a tile that is left out needn't be looked at again."""
     rooted = tiles.select("key", "id", "size", "pivot").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    return rooted.join(mixed, "key")
+    mixed = cut(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "mixed")
+    made = cut(rooted.join(mixed, "key"), "rest")
+    forget(tiles, mixed)
+    return made

@@ -8,37 +8,21 @@ import itertools
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Bytes of text that a Python worker splits into words at a time; bounds its memory whatever the Arrow batch holds.
 SLICE_BYTES = 1_000_000
 #: Longer words and chunks are never kept in a worker's caches.
 CACHE_WORD_BYTES = 64
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package's sources to Python workers, once for a context, so that they can import it wherever they run."""
-    context = spark.sparkContext
-    if getattr(context, "_meridian_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    if package.is_dir():  # else it came as an archive itself
-        archive = Path(tempfile.mkdtemp(prefix="sources-")) / "meridian_sources.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
-    context._meridian_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,7 +53,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove tables that cut() wrote and that nothing will read again."""
+    for df in frames:
+        _remove(df.sparkSession, df._written)
 
 
 def first_of_equals(docs: DataFrame, many: DataFrame, id_col: str, hash_col: str, flag: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._links import bitmap, linked_components
-from ._shared import cut, first_of_equals, hashed_words, id_filter, jaccard_at_least, set_id, ship, shingle_sets, signed, slices, utf8
+from ._shared import cut, first_of_equals, forget, hashed_words, id_filter, jaccard_at_least, set_id, ship, shingle_sets, signed, slices, utf8
 
 #: Shingles are counted over so many at a time within a partition; those met fewer times there aren't reported.
 COUNT_BLOCK, COUNT_LEAST = 2_000_000, 2
@@ -177,14 +177,15 @@ def classes(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_i
     rows = cut(signatures(docs, k, id_col, text_col), "signatures")
     sent = spark.sparkContext.broadcast(frequent_shingles(rows))
     sets = rows.where("sid is not null")
-    features = sets.where("size > 0").groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("th").alias("th"))
+    features = cut(sets.where("size > 0").groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("th").alias("th")), "features")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         wanted = cut(ids_of(pairs).join(features.select("id", "th"), "id"), "wanted")
         content = cut(members(docs, wanted, k, text_col), "members")
-        return verified(pairs, content, percent)
+        return verified(pairs, content, percent), [wanted, content]
 
     found = linked_components(postings(docs, sent, percent, k, text_col), features, verify, percent)
+    forget(features)
     rooted = sets.where("size > 0").select("id", "th", "size", "sid").join(found.withColumnRenamed("id", "sid"), "sid", "left")
     return rooted.select("id", "th", "size", F.coalesce("root", "sid").alias("root")).unionByName(sets.where("size = 0").select("id", "th", "size", F.lit(None).cast("long").alias("root")))
 

@@ -66,7 +66,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return substring_dedup.repeats(docs).unionByName(substring_dedup.passages(docs))
+    return substring_dedup.repeats(docs).unionByName(substring_dedup.passages(docs)).drop("text_hash")
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}

@@ -10,8 +10,10 @@ between the words), in whatever lines. Every window of WINDOW words is known by
 words, its anchor; equal windows have equal anchors, so only windows whose anchor occurs twice are counted (`passages`).
 
 Edge cases: null and empty texts and texts without a long enough line have no paragraphs and no rows; a paragraph that
-repeats within one document counts as an occurrence each time; repeated rows count as occurrences of their own; a null
-id comes first in order; other columns are ignored; an empty table gives no rows. Occurrences of a window that overlap in one document are one.
+repeats within one document counts as an occurrence each time; a null id comes first in order; other columns are ignored;
+an empty table gives no rows. Rows are known by id and text_hash (the xxhash64 of the text), so texts of one id aren't
+mixed up. Rows that are equal in both count as occurrences each; where parts are removed, one of them counts as the first
+and the others lose all that repeats. Occurrences of a window that overlap in one document are one.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._links import bitmap, linked_components
-from ._shared import _ODD, _shingled, cut, hashed_words, id_filter, mixed, set_id, shingle_sets, signed, slices, utf8
+from ._shared import _ODD, _shingled, cut, first_of_equals, forget, hashed_words, id_filter, mixed, set_id, ship, shingle_sets, signed, slices, utf8
 from .ngram_jaccard_join import ids_of, verified
 
 #: MinHash values of a band.
@@ -156,24 +158,28 @@ def members(docs: DataFrame, wanted: DataFrame, min_words: int, k: int, text_col
 
 
 def repeats(docs: DataFrame, min_words: int = 30, percent: int = 80, recall: float = 0.999, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, start, end, first_id, first_paragraph, n_occurrences, removed) of every paragraph that occurs
-    more than once; a cluster is known by its first occurrence."""
+    """(id, text_hash, paragraph, start, end, first_id, first_paragraph, n_occurrences, removed) of every paragraph that
+    occurs more than once; a cluster is known by its first occurrence."""
+    ship(docs.sparkSession)
     found = cut(paragraphs(docs, min_words, k, id_col, text_col), "paragraphs")
-    features = found.groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("th").alias("th"))
+    features = cut(found.groupBy(F.col("sid").alias("id")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("th").alias("th")), "features")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         wanted = cut(ids_of(pairs).join(features.select("id", "th"), "id"), "wanted")
         content = cut(members(docs, wanted, min_words, k, text_col), "members")
-        return verified(pairs, content, percent)
+        return verified(pairs, content, percent), [wanted, content]
 
     roots = linked_components(postings(docs, min_words, bands_for(percent, recall), k, text_col), features, verify, percent)
-    rooted = found.select("id", "paragraph", "start", "end", "sid").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("id", "paragraph", "start")).alias("first"), F.count(F.lit(1)).alias("n_occurrences")).where("n_occurrences > 1")
-    whole = rooted.join(first, "root")
-    return whole.select(
-        F.col("id").alias(id_col), "paragraph", "start", "end", F.col("first.id").alias("first_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences",
-        (~F.struct("id", "paragraph", "start").eqNullSafe(F.col("first"))).alias("removed"),
-    )
+    forget(features)
+    rooted = found.select("id", "paragraph", "start", "end", "sid", "th").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    place = F.struct("id", "paragraph", "start", "th")
+    first = cut(rooted.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences")).where("n_occurrences > 1"), "firsts")
+    whole = cut(rooted.join(first, "root").select(
+        F.col("id").alias(id_col), F.col("th").alias("text_hash"), "paragraph", "start", "end", F.col("first.id").alias("first_id"), F.col("first.paragraph").alias("first_paragraph"),
+        "n_occurrences", (~place.eqNullSafe(F.col("first"))).alias("removed"),
+    ), "repeats")
+    forget(found, first)
+    return whole
 
 
 def _windows(texts: list[bytes | None]):
@@ -229,12 +235,12 @@ def _anchors(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, row, id, at, place) of every window of those anchors (and maybe others): a number of the document's row, the
+    """(h, th, id, at, place) of every window of those anchors (and maybe others): the hash of the document's text, the
     window's first word there and its line, and its start and end in code points, two numbers in one long each."""
     passes, kind = id_filter(anchors, "id"), docs.schema[id_col].dataType.simpleString()
 
     def find(batches):
-        ok, seen, task = passes(), 0, TaskContext.get().partitionId() << 40
+        ok = passes()
         for b in batches:
             texts = utf8(b.column(1))
             for lo, hi in slices(texts):
@@ -257,26 +263,28 @@ def _candidates(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str)
                 line = np.searchsorted(feeds, first) - np.searchsorted(feeds, base)
                 words = at - np.searchsorted(starts, base)
                 place = points[first] - points[base] << 32 | points[end] - points[base]
-                columns = [signed(h), task + seen + lo + row, words << 32 | line, place]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), b.column(0).take(pa.array(lo + row))], ["h", "row", "at", "place", "id"])
-            seen += b.num_rows
+                of = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), b.column(2).take(of), pa.array(words << 32 | line), pa.array(place), b.column(0).take(of)], ["h", "th", "at", "place", "id"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(find, f"h long, row long, at long, place long, id {kind}")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return picked.mapInArrow(find, f"h long, th long, at long, place long, id {kind}")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of repeats() for every passage: a row for each stretch of neighbouring windows that are all first
     occurrences, or that all occur first in one other place's document. first_paragraph is the line in which the first
     of the windows begins there, n_occurrences that of the window that occurs most often."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     anchors = cut(_anchors(docs, text_col), "anchors")
-    same = Window.partitionBy("h").orderBy("id", "row", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same = Window.partitionBy("h").orderBy("id", "th", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = _candidates(docs, anchors, id_col, text_col).withColumns(
-        {"n": F.count(F.lit(1)).over(same), **{f"first_{c}": F.first(c).over(same) for c in ("id", "row", "at")}}
+        {"n": F.count(F.lit(1)).over(same), **{f"first_{c}": F.first(c).over(same) for c in ("id", "th", "at")}}
     )
-    whole = found.where("n > 1").select("row", "at", "id", "place", "first_id", "first_row", "first_at", "n")
-    names = ["id", "paragraph", "start", "end", "first_id", "first_paragraph", "n_occurrences", "removed"]
+    removed = ~F.struct("id", "th", "at").eqNullSafe(F.struct(F.col("first_id").alias("id"), F.col("first_th").alias("th"), F.col("first_at").alias("at")))
+    whole = found.where("n > 1").select("th", "at", "id", "place", "first_id", F.xxhash64("first_id", "first_th").alias("of"), F.col("first_at").alias("first"), "n", removed.alias("removed"))
+    names = [id_col, "text_hash", "paragraph", "start", "end", "first_id", "first_paragraph", "n_occurrences", "removed"]
 
     def merge(batches):
         held = None  # the last stretch so far, which may go on in the next batch
@@ -285,43 +293,61 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             if not b.num_rows:
                 continue
-            row, at, place, of, first, n = (b.column(i).to_numpy() for i in (0, 1, 3, 5, 6, 7))
-            word, removed = at >> 32, (row != of) | (at != first)
-            new = np.append(True, (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (removed[1:] != removed[:-1]))
+            th, at = (b.column(i).to_numpy() for i in (0, 1))
+            again = np.append(False, (th[1:] == th[:-1]) & (at[1:] == at[:-1]) & equal_ids(b.column(2)))  # rows equal in id and text
+            if again.any():
+                b = b.filter(pa.array(~again))
+            th, at, place, of, n, removed = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 5, 7, 8))
+            word = at >> 32
+            new = np.append(True, (th[1:] != th[:-1]) | (of[1:] != of[:-1]) | (removed[1:] != removed[:-1]) | ~equal_ids(b.column(2)))
             new[1:] |= word[1:] != word[:-1] + 1
             lead = np.flatnonzero(new)
-            tail = np.append(lead[1:], len(row)) - 1
+            tail = np.append(lead[1:], len(th)) - 1
             yield shown(b, lead[:-1], place[tail[:-1]], np.maximum.reduceat(n, lead)[:-1])
             held = b.slice(int(lead[-1]))
         if held is not None:
             yield shown(held, np.zeros(1, np.int64), held.column(3).to_numpy()[-1:], held.column(7).to_numpy().max(keepdims=True))
 
+    def equal_ids(ids: pa.Array) -> np.ndarray:
+        """Whether each id but the first is the one before it, nulls being equal."""
+        before, after = ids.slice(0, max(0, len(ids) - 1)), ids.slice(1)
+        nulls = pc.and_(pc.is_null(before), pc.is_null(after))
+        return pc.or_(nulls, pc.fill_null(pc.equal(before, after), False)).to_numpy(zero_copy_only=False)
+
     def shown(b: pa.RecordBatch, lead: np.ndarray, end: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         b = b.take(pa.array(lead))
-        row, at, place, of, first = (b.column(i).to_numpy() for i in (0, 1, 3, 5, 6))
+        at, place, first = (b.column(i).to_numpy() for i in (1, 3, 6))
         line = lambda x: pa.array((x & 0xFFFFFFFF).astype(np.int32))
-        removed = pa.array((row != of) | (at != first))
-        return pa.RecordBatch.from_arrays([b.column(2), line(at), pa.array(place >> 32), pa.array(end & 0xFFFFFFFF), b.column(4), line(first), pa.array(n), removed], names)
+        return pa.RecordBatch.from_arrays([b.column(2), b.column(0), line(at), pa.array(place >> 32), pa.array(end & 0xFFFFFFFF), b.column(4), line(first), pa.array(n), b.column(8)], names)
 
-    dealt = whole.repartition("row").sortWithinPartitions("row", "at")
-    made = dealt.mapInArrow(merge, f"id {kind}, paragraph int, start long, end long, first_id {kind}, first_paragraph int, n_occurrences long, removed boolean")
-    return made.withColumnRenamed("id", id_col)
+    dealt = whole.repartition("id", "th").sortWithinPartitions("id", "th", "at")
+    return dealt.mapInArrow(merge, f"`{id_col}` {kind}, text_hash long, paragraph int, start long, end long, first_id {kind}, first_paragraph int, n_occurrences long, removed boolean")
+
+
+def _with_removals(docs: DataFrame, found: DataFrame, part: Column, id_col: str, text_col: str) -> DataFrame:
+    """docs and _sd_gone: the sorted parts of found that a row loses, null where it loses none."""
+    gone = found.groupBy(F.col(id_col).alias("id"), F.col("text_hash").alias("th")).agg(
+        F.sort_array(F.collect_set(F.when(F.col("removed"), part))).alias("_sd_some"), F.sort_array(F.collect_set(part)).alias("_sd_every")
+    )
+    hashed = docs.withColumn("_sd_text", F.xxhash64(F.col(text_col).cast("string")))
+    many = cut(hashed.groupBy(F.col(id_col).alias("id"), F.col("_sd_text").alias("th")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "th"), "equals")
+    marked = first_of_equals(hashed, many, id_col, "_sd_text", "_sd_first")
+    joined = marked.join(gone, marked[id_col].eqNullSafe(gone["id"]) & (marked["_sd_text"] == gone["th"]), "left")
+    parts = F.when(F.col("_sd_first"), F.col("_sd_some")).otherwise(F.col("_sd_every"))
+    return joined.select(*(marked[c] for c in docs.columns), F.when(F.size(parts) > 0, parts).alias("_sd_gone"))
 
 
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed places taken from their texts; found is what passages() or repeats() gave, or both. Only for
-    ids that are unique."""
-    gone = found.where("removed").groupBy(F.col(id_col).alias("_sd_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_sd_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_sd_id")), "left")
+    """docs with the removed places taken from their texts; found is what passages() or repeats() gave, or both."""
+    joined = _with_removals(docs, found, F.struct("start", "end"), id_col, text_col)
     piece = f"substring(`{text_col}`, int(a.at) + 1, int(greatest(x.start - a.at, 0L)))"
     step = f"named_struct('kept', concat(a.kept, {piece}), 'at', greatest(a.at, x.end))"
     left = F.expr(f"aggregate(_sd_gone, named_struct('kept', '', 'at', 0L), (a, x) -> {step}, a -> concat(a.kept, substring(`{text_col}`, int(a.at) + 1)))")
-    return joined.withColumn(text_col, F.when(F.col("_sd_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("_sd_gone").isNull(), F.col(text_col)).otherwise(left)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with removed paragraphs taken from their texts; found is what repeats() gave."""
-    gone = found.where("removed").groupBy(F.col(id_col).alias("_sd_id")).agg(F.collect_set("paragraph").alias("_sd_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_sd_id")), "left")
+    """docs with removed paragraphs, and their line ends, taken from their texts; found is what repeats() gave."""
+    joined = _with_removals(docs, found, F.col("paragraph"), id_col, text_col)
     left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(_sd_gone, i)), '\\n')")
-    return joined.withColumn(text_col, F.when(F.col("_sd_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("_sd_gone").isNull(), F.col(text_col)).otherwise(left)).select(*(F.col(f"`{c}`") for c in docs.columns))
