@@ -30,10 +30,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
-    groups = ngram_jaccard_join.near_duplicates(docs)
-    gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One document of each group of near duplicates: that of the smallest id. Documents are known by id and text, so
+    another text of the same id stays; and of rows that are equal in both one stays."""
+    return ngram_jaccard_join.without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
