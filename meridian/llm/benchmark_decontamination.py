@@ -186,3 +186,19 @@ def contaminated(found: DataFrame, least_items: int = 2) -> DataFrame:
         .withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256))
         .withColumn("contaminated", F.col("n_items") >= least_items)
     )
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+with docs as (select row_number() over () as r, doc_id, {_WORDS_SQL} as w from documents),
+items as (select cast(item_id as varchar) as item, {_WORDS_SQL} as w from benchmark),
+windows as (
+  select distinct item, list_slice(w, i, least(i + 7, len(w))) as win from (select item, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) as i from items where len(w) > 0)
+), sizes as (select distinct len(win) as k from windows),
+places as (select r, i, k, list_slice(w, i, i + k - 1) as win from (select r, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from docs, sizes where len(w) >= k)),
+hits as (select p.r, p.i, p.k, x.item from places p join windows x on x.win = p.win),
+hit_words as (select r, count(distinct word) as n from (select r, unnest(generate_series(i, i + k - 1)) as word from hits) group by r),
+found as (select r, count(*) as n, string_agg(item, ',' order by item) as listed from (select distinct r, item from hits where item is not null) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n, 0) as n_hit, coalesce(f.n, 0) as n_items, sha256(coalesce(f.listed, '')) as items_sha256, coalesce(f.n, 0) >= 2 as contaminated
+from docs left join hit_words h on h.r = docs.r left join found f on f.r = docs.r
+"""

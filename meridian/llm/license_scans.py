@@ -237,3 +237,43 @@ def digest(scanned: DataFrame) -> DataFrame:
             "score": F.expr(f"cast({longest} as double) / ({longest} + 4)"),
         }
     )
+
+
+def _pattern(markup: str) -> str:
+    """A template as a regular expression over words that each have a space behind them."""
+    out = []
+    for part in re.split(r"(<<[^>]*>>)", markup):
+        command = part[2:-2].split(" ") if part.startswith("<<") else None
+        plain = lambda text: "".join(f"{w.decode()} " for w in alnum_words(text.encode()))
+        if command is None:
+            out.append(plain(part))
+        elif command[0] == "any":
+            out.append(f"(?:[^ ]+ ){{{command[1]},{command[2]}}}")
+        elif command[0] == "alt":
+            out.append(f"(?:{'|'.join(sorted(map(plain, part[6:-2].split('|')), key=len, reverse=True))})")
+        else:
+            out.append("(?:" if command[0] == "optional" else ")?")
+    return "".join(out)
+
+
+def _oracle(templates: tuple[Template, ...] = TEMPLATES) -> str:
+    base = [(t.label, alnum_words(t.markup.encode())) for t in templates if t.base]
+    places = " union all ".join(
+        f"select r, '{label}' as label, i - 1 as first from (select r, w, unnest(generate_series(1, len(w) - {len(words) - 1})) as i from docs) where list_slice(w, i, i + {len(words) - 1}) = [{', '.join(repr(w.decode()) for w in words)}]"
+        for label, words in base
+    )
+    whole = " union all ".join(f"select r, '{t.label}' as label, unnest(regexp_extract_all(joined, ' {_pattern(t.markup)}')) as part from docs" for t in templates if not t.base)
+    sizes = " union all ".join(f"select r, label, {len(words)} as n from places where label = '{label}'" for label, words in base)
+    return f"""with docs as (
+  select r, doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as joined from (
+    select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents)
+), places as ({places}), matches as ({sizes} union all select r, label, length(part) - length(replace(part, ' ', '')) - 1 as n from ({whole})),
+b as (select r, count(*) as n, min(first) as low, max(first) as high, string_agg(distinct label, ',' order by label) as labels from places group by r),
+m as (select r, max(n) as n, string_agg(distinct label, ',' order by label) as labels from matches group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(b.n, 0) as n_base, b.low as first_word, b.high as last_word, coalesce(b.labels, '') as base_labels, coalesce(m.labels, '') as labels,
+  cast(coalesce(m.n, 0) as double) / (coalesce(m.n, 0) + 4) as score
+from docs left join b on b.r = docs.r left join m on m.r = docs.r
+"""
+
+
+ORACLE = _oracle()

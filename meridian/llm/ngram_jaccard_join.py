@@ -210,3 +210,19 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_c
     hashed = docs.withColumn("_nj_text", F.xxhash64(F.col(text_col).cast("string")))
     kept = hashed.join(gone, hashed[id_col].eqNullSafe(gone["id"]) & (hashed["_nj_text"] == gone["th"]), "left_anti")
     return first_of_equals(kept, texts.where("n > 1").select("id", "th"), id_col, "_nj_text", "_nj_first").where("_nj_first").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+ORACLE = r"""
+with recursive docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct r, array_to_string(list_slice(w, i, i + 4), ' ') as s from (select r, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from docs where len(w) > 0)
+), sizes as (select r, count(*) as n from shingles group by r),
+links as (
+  select x.r as a, y.r as b from shingles x join shingles y on x.s = y.s join sizes m on m.r = x.r join sizes n on n.r = y.r
+  where x.r < y.r and 100 * least(m.n, n.n) >= 80 * greatest(m.n, n.n) group by x.r, y.r having 100 * count(*) >= 80 * (any_value(m.n) + any_value(n.n) - count(*))
+), edges as (select a, b from links union all select b, a from links),
+reached(a, b) as (select r, r from docs union select c.a, e.b from reached c join edges e on e.a = c.b),
+least_id as (select c.a as r, min(d.doc_id) as component_id from reached c join docs d on d.r = c.b group by c.a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id from docs d left join sizes s on s.r = d.r join least_id l on l.r = d.r
+"""

@@ -70,4 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
-ORACLES = {"op6_line_dedup": line_dedup.ORACLE.format(min_sites=MIN_SITES)}
+ORACLES = {
+    "op2_license_scans": license_scans.ORACLE, "op4_ngram_jaccard_join": ngram_jaccard_join.ORACLE, "op5_benchmark_decontamination": benchmark_decontamination.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE.format(min_sites=MIN_SITES), "op8_secret_scans": secret_scans.ORACLE,
+}

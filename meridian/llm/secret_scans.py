@@ -115,6 +115,39 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.withColumns(counts | {"base_sha256": F.expr(f"sha2({listed(fixed)}, 256)"), "spans": F.expr(listed("spans"))})
 
 
+def _oracle() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    plain = lambda x: x.replace("{24,}+", "{24,}")  # noqa: E731  runs are as long as they can be either way
+    found, spans = [], []
+    patterns = [(name, plain(pattern), group) for name, (pattern, group, _, _) in KINDS.items()] + [("entropy", "[A-Za-z0-9+/_=-]+", 0)]
+    for k, (name, pattern, group) in enumerate(patterns):
+        found.append(
+            f"""{name}_lists as (select r, string_split_regex(text, {quoted(pattern)}) as g, regexp_extract_all(text, {quoted(pattern)}, 0) as m, regexp_extract_all(text, {quoted(pattern)}, {group}) as v from docs),
+{name}_matches as (select r, i, g[i] as gap, m[i] as whole, v[i] as part from (select r, g, m, v, unnest(generate_series(1, len(m))) as i from {name}_lists)),
+{name}_spans as (select r, {k} as kind, part, finish - length(whole) as start, finish from (select *, sum(length(gap) + length(whole)) over (partition by r order by i) as finish from {name}_matches))"""
+        )
+        if name != "entropy":
+            spans.append(f"select r, kind, start, finish from {name}_spans where length(part) >= {KINDS[name][2]}")
+    allowed = " or ".join(f"regexp_matches(part, {quoted(x)})" for x in ALLOW)
+    least = f"case when regexp_matches(w, '[^0-9A-Za-z]') then {LEAST['base64']} when not regexp_matches(w, '[^0-9a-fA-F]') then {LEAST['hexadecimal']} when not regexp_matches(w, '[0-9]') then {LEAST['letters']} else {LEAST['alphanumeric']} end"
+    spans.append(f"""select distinct r, kind, start, finish from (
+    select *, substring(part, i, {WINDOW}) as w from (select *, unnest(generate_series(1, length(part) - {WINDOW - 1})) as i from entropy_spans
+      where length(part) >= {WINDOW} and (regexp_matches(part, '[0-9]') or regexp_matches(part, '[a-z]') and regexp_matches(part, '[A-Z]')) and not ({allowed}))
+  ) where list_entropy(string_split(w, '')) >= {least}""")
+    names = ", ".join(f"'{n}'" for n, _, _ in patterns)
+    text = f"list_value({names})[kind + 1] || ':' || cast(start as bigint) || ':' || cast(finish as bigint)"
+    counts = ", ".join(f"count(*) filter (where kind = {k}) as n_{n}" for k, n in enumerate(KINDS))
+    return f"""with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+{", ".join(found)},
+spans as ({" union all ".join(spans)}),
+listed as (
+  select r, {counts}, coalesce(string_agg({text}, ',' order by start, kind, finish) filter (where kind < {len(KINDS)}), '') as base, string_agg({text}, ',' order by start, kind, finish) as spans
+  from spans group by r
+)
+select doc_id, {", ".join(f"coalesce(n_{n}, 0) as n_{n}" for n in KINDS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join listed on listed.r = docs.r
+"""
+
+
 def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> Column | DataFrame:
     """docs (id, text) with every span replaced by the mark."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
@@ -124,3 +157,6 @@ def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", te
     )
     whole = f"transform(array(_row.`{text_col}`), t -> aggregate(spans, named_struct('at', 0L, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(t, cast(a.at as int) + 1))))[0]"
     return found.select(F.col(f"_row.{id_col}").alias(id_col), F.expr(whole).alias(text_col))
+
+
+ORACLE = _oracle()
