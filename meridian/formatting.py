@@ -1,6 +1,6 @@
-"""How values are shown: number patterns, percentages, currencies and dates of the en_US locale, and their d3 formats.
+"""How values are shown: number patterns, percentages, currencies and dates of some locales, and their d3 formats.
 
-This is display on the driver; nothing of it runs in a query.
+This is display; nothing of it runs in a query but where formatted frames are asked for.
 """
 
 from __future__ import annotations
@@ -29,6 +29,63 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
+@dataclass(frozen=True)
+class Locale:
+    """What a locale has of its own; the rest is as in en_US."""
+
+    decimal: str = "."
+    group: str = ","
+    numbers: tuple[tuple[str, str], ...] = ()
+    grains: tuple[tuple[str, str], ...] = ()
+    months: tuple[str, ...] = MONTHS
+    short_months: tuple[str, ...] = tuple(m[:3] for m in MONTHS)
+    days: tuple[str, ...] = DAYS
+    quarter: str = "Q"
+    monday_first: bool = False
+
+    def pattern(self, kind: str) -> str:
+        return dict(self.numbers).get(kind, NUMBER_PATTERNS[kind])
+
+    def grain(self, grain: str) -> str:
+        return dict(self.grains).get(grain, GRAIN_PATTERNS[grain])
+
+
+# Separators, patterns and names of locales. Their weeks are those of ISO 8601.
+_BEHIND = (("percent", "#,##0\xa0%"), ("currency", "#,##0.00\xa0¤"))
+LOCALES = {
+    "en_US": Locale(),
+    "en_GB": Locale(
+        grains=(("day", "dd/MM/y"), ("hour", "dd/MM/y, HH:mm"), ("minute", "dd/MM/y, HH:mm"), ("second", "d MMM y, HH:mm:ss")), monday_first=True,
+        short_months=("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec"),
+    ),
+    "de_DE": Locale(
+        ",", ".", _BEHIND, (("week", "'Woche' w 'des' 'Jahres' Y"), ("day", "dd.MM.y"), ("hour", "dd.MM.yy, HH:mm"), ("minute", "dd.MM.yy, HH:mm"), ("second", "dd.MM.y, HH:mm:ss")),
+        ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+        ("Jan.", "Feb.", "März", "Apr.", "Mai", "Juni", "Juli", "Aug.", "Sept.", "Okt.", "Nov.", "Dez."),
+        ("Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag"), monday_first=True,
+    ),
+    "fr_FR": Locale(
+        ",", "\u202f", (("percent", "#,##0\u202f%"), ("currency", "#,##0.00\xa0¤")),
+        (("week", "'semaine' w 'de' Y"), ("day", "dd/MM/y"), ("hour", "dd/MM/y HH:mm"), ("minute", "dd/MM/y HH:mm"), ("second", "d MMM y, HH:mm:ss")),
+        ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+        ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc."),
+        ("lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche"), "T", True,
+    ),
+    "es_ES": Locale(
+        ",", ".", _BEHIND, (("month", "MMMM 'de' y"), ("week", "'semana' w 'de' Y"), ("day", "d/M/y"), ("hour", "d/M/yy, H:mm"), ("minute", "d/M/yy, H:mm"), ("second", "d MMM y, H:mm:ss")),
+        ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+        ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sept", "oct", "nov", "dic"),
+        ("lunes", "martes", "miércoles", "jueves", "viernes", "sábado", "domingo"), "T", True,
+    ),
+}
+
+
+def locale_of(name: str) -> Locale:
+    """A locale by its name, by its language alone, or en_US."""
+    known = name.replace("-", "_")
+    return LOCALES.get(known) or next((v for k, v in LOCALES.items() if k[:2] == known[:2].lower()), LOCALES["en_US"])
+
+
 @dataclass(frozen=True)
 class NumberPattern:
     """A number pattern of LDML, taken apart."""
@@ -74,17 +131,17 @@ def number_pattern(text: str) -> NumberPattern:
     )
 
 
-def _grouped(digits: str, p: NumberPattern) -> str:
+def _grouped(digits: str, p: NumberPattern, mark: str) -> str:
     if not p.group or len(digits) <= p.group:
         return digits
     head, parts, size = digits[: -p.group], [digits[-p.group :]], p.group_far or p.group
     while len(head) > size:
         parts.insert(0, head[-size:])
         head = head[:-size]
-    return ",".join([head, *parts])
+    return mark.join([head, *parts])
 
 
-def format_number(value: float, pattern: str, currency: str | None = None) -> str:
+def format_number(value: float, pattern: str, currency: str | None = None, locale: Locale = LOCALES["en_US"]) -> str:
     """A number by a pattern; halves are rounded to even digits, as locales do."""
     p = number_pattern(pattern)
     if isinstance(value, float) and not math.isfinite(value):
@@ -110,7 +167,7 @@ def format_number(value: float, pattern: str, currency: str | None = None) -> st
     prefix, suffix = p.prefix, p.suffix
     if minus:
         prefix, suffix = p.negative or ("-" + prefix, suffix)
-    text = prefix + _grouped(whole, p) + ("." + fraction if fraction else "") + tail + suffix
+    text = prefix + _grouped(whole, p, locale.group) + (locale.decimal + fraction if fraction else "") + tail + suffix
     return text.replace("¤¤", currency or "").replace("¤", SIGNS.get(currency, f"{currency}\xa0") if currency else "")
 
 
@@ -123,10 +180,10 @@ def week_of(v: datetime) -> tuple[int, int]:
     return year, (start.date() - first.date()).days // 7 + 1
 
 
-def format_time(value: datetime | date, pattern: str) -> str:
+def format_time(value: datetime | date, pattern: str, locale: Locale = LOCALES["en_US"]) -> str:
     """A date or time by a pattern."""
     v = value if isinstance(value, datetime) else datetime(value.year, value.month, value.day)
-    week_year, week = week_of(v)
+    week_year, week = v.isocalendar()[:2] if locale.monday_first else week_of(v)
     twelve, quarter = v.hour % 12 or 12, (v.month + 2) // 3
 
     def field(m: re.Match) -> str:
@@ -138,11 +195,11 @@ def format_time(value: datetime | date, pattern: str) -> str:
         if c in "yY":
             return f"{year % 100:02d}" if n == 2 else f"{year:0{n}d}"
         if c in "ML":
-            return f"{v.month:0{n}d}" if n < 3 else MONTHS[v.month - 1][:3] if n == 3 else MONTHS[v.month - 1][: 1 if n == 5 else None]
+            return f"{v.month:0{n}d}" if n < 3 else locale.short_months[v.month - 1] if n == 3 else locale.months[v.month - 1][: 1 if n == 5 else None]
         if c == "Q":
-            return f"{quarter:0{n}d}" if n < 3 else f"Q{quarter}" if n == 3 else f"{quarter}{('st', 'nd', 'rd', 'th')[quarter - 1]} quarter"
+            return f"{quarter:0{n}d}" if n < 3 else f"{locale.quarter}{quarter}" if n == 3 else f"{quarter}{('st', 'nd', 'rd', 'th')[quarter - 1]} quarter"
         if c == "E":
-            return DAYS[v.weekday()][: 3 if n < 4 else None]
+            return locale.days[v.weekday()][: 3 if n < 4 else None]
         if c == "a":
             return "AM" if v.hour < 12 else "PM"
         if c == "S":
@@ -158,7 +215,7 @@ class Formatter:
 
     def __init__(self, type: Type, config: object = None, locale: str = "en_US", currency: str = "USD"):
         config = {"kind": config} if isinstance(config, str) else dict(config or {})
-        self.type, self.locale = type, locale
+        self.type, self.locale = type, locale_of(locale)
         self.kind = config.get("kind") or {"int": "number", "float": "number", "datetime": "datetime", "bool": "bool"}.get(type.name, "string")
         self.currency = config.get("currency") or currency
         pattern, skeleton = config.get("pattern"), config.get("skeleton")
@@ -168,18 +225,18 @@ class Formatter:
             raise ValueError("only dates and times have skeletons")
         if skeleton and skeleton not in SKELETONS:
             raise ValueError(f"no skeleton {skeleton!r} is known")
-        default = NUMBER_PATTERNS.get(self.kind)
+        default = self.locale.pattern(self.kind) if self.kind in NUMBER_PATTERNS else None
         if self.kind in ("date", "datetime"):
-            default = GRAIN_PATTERNS[type.grain or ("day" if self.kind == "date" else "second")]
+            default = self.locale.grain(type.grain or ("day" if self.kind == "date" else "second"))
         self.pattern = pattern or (SKELETONS[skeleton] if skeleton else default)
 
     def text(self, value: object) -> str:
         if value is None or value != value:
             return ""
         if self.kind in NUMBER_PATTERNS:
-            return format_number(value, self.pattern, self.currency)
+            return format_number(value, self.pattern, self.currency, self.locale)
         if self.kind in ("date", "datetime"):
-            return format_time(value, self.pattern)
+            return format_time(value, self.pattern, self.locale)
         return str(value)
 
     @property
@@ -192,28 +249,28 @@ class Formatter:
         return None
 
 
+#: What a number pattern gives for each slot of a specifier, in the order of the published grammar:
+#: [sign][symbol][0][width][,][.precision][~][type].
+_D3_SLOTS = {
+    "sign": lambda p: next((mark for mark, there in (("+", "+" in p.prefix), (" ", p.prefix[:1] == " "), ("(", bool(p.negative) and "(" in p.negative[0])) if there), ""),
+    "symbol": lambda p: "$" * p.currency,
+    "width": lambda p: f"0{p.least_int}" * bool(p.least_int),
+    "comma": lambda p: "," * bool(p.group),
+    "precision": lambda p: {"d": ""}.get(_d3_type(p), f".{p.significant[1] if p.significant else p.most_frac}"),
+    "trim": lambda p: "~" * (p.significant[0] < p.significant[1] if p.significant else p.least_frac < p.most_frac),
+    "type": lambda p: _d3_type(p),
+}
+
+
+def _d3_type(p: NumberPattern) -> str:
+    asked = {"r": p.significant, "%": p.percent, "e": p.exponent, "f": p.most_frac, "d": True}
+    return next(kind for kind, there in asked.items() if there)
+
+
 def d3_number(pattern: str) -> str:
-    """The specifier [sign][symbol][0][width][,][.precision][~][type] that is nearest to a number pattern."""
+    """The d3 specifier that is nearest to a number pattern."""
     p = number_pattern(pattern)
-    sign = "+" if "+" in p.prefix else " " if p.prefix.startswith(" ") else "(" if p.negative and "(" in p.negative[0] else ""
-    symbol = "$" if p.currency else ""
-    zero = f"0{p.least_int}" if p.least_int else ""
-    comma = "," if p.group else ""
-    precision, trim = "", ""
-    if p.significant:
-        precision, kind = f".{p.significant[1]}", "r"
-        trim = "~" if p.significant[0] != p.significant[1] else ""
-    elif p.percent:
-        precision, kind = f".{p.most_frac}", "%"
-    elif p.exponent:
-        precision, kind = f".{p.most_frac}", "e"
-    elif p.most_frac:
-        precision, kind = f".{p.most_frac}", "f"
-    else:
-        kind = "d"
-    if p.most_frac and p.most_frac != p.least_frac and not p.significant:
-        trim = "~"
-    return sign + symbol + zero + comma + precision + trim + kind
+    return "".join(slot(p) for slot in _D3_SLOTS.values())
 
 
 # Fields of date patterns and their d3 directives.

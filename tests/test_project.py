@@ -179,6 +179,7 @@ def test_number_patterns(value, pattern, text):
     assert format_number(value, pattern) == text
 
 
+# Specifiers that number patterns must give.
 @pytest.mark.parametrize(
     ("pattern", "d3"),
     [
@@ -191,6 +192,7 @@ def test_d3_numbers(pattern, d3):
 
 
 def test_values_as_text():
+    # The moment and its texts.
     at = dt.datetime(2022, 11, 17, 12, 33, 11)
     text = lambda grain: Formatter(Type("datetime", grain)).text(at)
     assert [text(g) for g in ("year", "quarter", "month", "week", "day")] == ["2022", "Q4 2022", "November 2022", "week 47 of 2022", "11/17/2022"]
@@ -206,6 +208,17 @@ def test_values_as_text():
             Formatter(Type("datetime", "day"), bad)
 
 
+def test_locales():
+    at, texts = dt.datetime(2021, 3, 7, 15, 4, 5), {}
+    for name in ("en_GB", "de_DE", "fr-FR", "es", "xx_YY"):
+        f = lambda kind, config=None: Formatter(Type(kind) if kind != "datetime" else Type("datetime", config), None if kind == "datetime" else config, name, "EUR")  # noqa: B023, E731
+        texts[name] = [f("float").text(-1234567.5), f("float", "currency").text(1234.5), f("float", "percent").text(0.25), *(f("datetime", g).text(at) for g in ("quarter", "month", "week", "day", "second"))]
+    assert texts["en_GB"] == ["-1,234,567.5", "€1,234.50", "25%", "Q1 2021", "March 2021", "week 9 of 2021", "07/03/2021", "7 Mar 2021, 15:04:05"]
+    assert texts["de_DE"] == ["-1.234.567,5", "1.234,50\xa0€", "25\xa0%", "Q1 2021", "März 2021", "Woche 9 des Jahres 2021", "07.03.2021", "07.03.2021, 15:04:05"]
+    assert texts["fr-FR"] == ["-1\u202f234\u202f567,5", "1\u202f234,50\xa0€", "25\u202f%", "T1 2021", "mars 2021", "semaine 9 de 2021", "07/03/2021", "7 mars 2021, 15:04:05"]
+    assert texts["es"][4] == "marzo de 2021" and texts["xx_YY"][0] == "-1,234,567.5" and texts["xx_YY"][-2] == "3/7/2021"
+
+
 def test_windows_of_a_stream(spark, project, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
