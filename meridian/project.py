@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import example
 from .errors import ProjectError
 from .formatting import Formatter, shown
 from .model import GENERIC_TIME, Model
@@ -262,6 +263,11 @@ class Project:
         catalog = Catalog.from_profile(spark, found["type"], found.get("parameters") or {})
         return cls(spark, files.model(), catalog, files)
 
+    @classmethod
+    def example(cls, spark: SparkSession) -> Project:
+        """A small project with its data, to try things on."""
+        return cls(spark, example.MODEL, Catalog(spark, frames=example.frames(spark)))
+
     @classmethod
     def new(cls, spark: SparkSession, path: str | Path, name: str = "project", backend: str = "spark", parameters: dict | None = None, locale: str = "en_US", currency: str = "USD") -> Project:
         """A new, empty project folder."""
@@ -287,6 +293,20 @@ class Project:
         rows = [(d, *("+" if d in known[m] else None for m in known)) for d in dims]
         return self.spark.createDataFrame(rows, ", ".join(["dimension string", *(f"`{m}` string" for m in known)]))
 
+    def outline(self) -> dict:
+        """The model as plain data: its metrics with their types, formats, lineage and the dimensions they go by."""
+        model = self.model
+
+        def told(item, kind) -> dict:
+            made = {"id": item.id, "name": item.name, "description": item.description, "expr": getattr(item, "text", None)}
+            return made | {"type": {"name": kind.name, "grain": kind.grain}, "format": {"pattern": item.format, "d3": Formatter(kind, item.format, model.locale, model.currency).d3}}
+
+        def metric(m) -> dict:
+            known = [model.unions.get(d) or model.dimensions[d] for d in model.dimensions_of(m.id)]
+            return told(m, m.type) | {"lineage": model.lineage(m.id), "dimensions": [told(d, d.type) for d in known], "time": model.time_dimensions_of(m.id)}
+
+        return {"name": model.name, "description": model.description, "metrics": [metric(m) for m in model.metrics.values()]}
+
     def suggest_dimensions(self, *metrics: str) -> list[str]:
         """Dimensions by which all of these metrics can be asked."""
         sets = [{*self.model.dimensions_of(m), *self.model.time_dimensions_of(m)} for m in metrics]

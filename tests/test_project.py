@@ -1,6 +1,7 @@
 """Projects: the fluent API, pivots, files, shorthand, formats and streams."""
 
 import datetime as dt
+import json
 
 import pytest
 import yaml
@@ -208,6 +209,21 @@ def test_values_as_text():
             Formatter(Type("datetime", "day"), bad)
 
 
+def test_example(spark):
+    p = Project.example(spark)
+    got = rows(p.ql("select takings, copies_sold, price_paid, gift_share by side limit takings.top(1)").df())
+    prices = (40.0, 12.5, 15.0, 17.5)
+    sold = [(i % 7 % 3 < 2, prices[i * i % 4], 1 + i % 5, i % 6 == 0) for i in range(180)]
+    want = {north: (sum(n * x for s, x, n, _ in sold if s == north), sum(n for s, _, n, _ in sold if s == north), sum(n for s, _, n, g in sold if s == north and g)) for north in (True, False)}
+    taken, copies, gifts = max(want.values())
+    assert got == [("North", taken, copies, pytest.approx(taken / copies), pytest.approx(gifts / copies))]
+    outline = p.outline()
+    assert json.loads(json.dumps(outline)) == outline and outline["name"] == "bookshops"
+    takings = {m["id"]: m for m in outline["metrics"]}["takings"]
+    assert takings["type"] == {"name": "float", "grain": None} and {d["id"] for d in takings["dimensions"]} == {"gift", "shop", "side", "size_class", "sold_on", "title", "genre"}
+    assert "Year" in takings["time"] and {"column:books.price", "column:sales.copies"} <= {x["id"] for x in takings["lineage"]} and takings["format"]["d3"] == "$01,.2f"
+
+
 def test_locales():
     at, texts = dt.datetime(2021, 3, 7, 15, 4, 5), {}
     for name in ("en_GB", "de_DE", "fr-FR", "es", "xx_YY"):
