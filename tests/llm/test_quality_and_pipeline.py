@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meridian.llm import quality_classifier as qc
@@ -96,7 +97,13 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_of_odd_rows(spark, odd, none):
+    """Nulls, long and repeated rows and empty tables, with columns that carry names of the operators' own."""
+    clashing = ["id", "th", "size", "sid", "root", "key", "n", "score", "items", "spans", "n_hit", "removed_lines", "window", "piece", "label"]
     for docs in (odd, none):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
+        docs = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(clashing)))
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, SF)
+            if name != "pack":
+                assert docs.columns == before.columns
             docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert name == "pack" or not docs.count() or docs.select(*clashing).distinct().collect() == [tuple(range(len(clashing)))]
